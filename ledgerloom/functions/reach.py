@@ -41,11 +41,24 @@ TWO_LABEL_SUFFIXES = [
 SINGLE_LABEL_SUFFIXES = ["ca", "com", "org", "net", "info", "biz", "io", "co", "us", "uk", "fr", "de", "eu"]
 
 
-def normalize_phone(value: Column, area_codes: Sequence[str] | None = None) -> Column:
+def plain_number(value: Column) -> Column:
+    """The number with its usual punctuation taken out."""
+    return F.translate(value, " ()-./\t", "")
+
+
+def normalize_phone(value: Column, area_codes: Sequence[str] | None = None, plain: Column | None = None) -> Column:
     """``+1…`` for a valid North American number, else NULL.
 
     ``area_codes`` narrows the numbering rule to a list of assigned codes.
+    ``plain`` is ``plain_number(value)`` when the caller has it as a column.
+    Ordinary numbers are settled by it alone; labels, extensions and letters
+    take the longer way.
     """
+    plain = plain_number(value) if plain is None else plain
+    area = AREA_CODE_RULE if area_codes is None else "(?:" + "|".join(area_codes) + ")"
+    number = rf"({area}{SUBSCRIBER_RULE}|{SHARED_COST})$"
+    ordinary = plain.rlike(r"^(?:\+?1)?" + number)
+
     dialled = F.regexp_extract(value, r"(?s)[+\d(].*", 0)
     packed = F.upper(F.regexp_replace(F.regexp_replace(dialled, EXTENSION, ""), r"[^0-9+A-Za-z]", ""))
     # Letters stand for their keys when there are enough of them to be a word.
@@ -53,17 +66,29 @@ def normalize_phone(value: Column, area_codes: Sequence[str] | None = None) -> C
         packed.rlike("(?:[^A-Z]*[A-Z]){3}"),
         F.translate(packed, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999"),
     ).otherwise(F.regexp_replace(packed, "[A-Z]", ""))
-    area = AREA_CODE_RULE if area_codes is None else "(?:" + "|".join(area_codes) + ")"
-    national = F.regexp_extract(keyed, rf"^(?:\+?1|0111)?({area}{SUBSCRIBER_RULE}|{SHARED_COST})$", 1)
-    return F.when(national != "", F.concat(F.lit("+1"), national))
+    other = F.regexp_extract(keyed, r"^(?:\+?1|0111)?" + number, 1)
+    short = F.length(plain) < 10
+    return (
+        F.when(ordinary & short, F.concat(F.lit("+1"), F.right(plain, F.lit(7))))
+        .when(ordinary, F.concat(F.lit("+1"), F.right(plain, F.lit(10))))
+        .when(value.rlike(r"^[\d\s()\-./]*$"), F.when(plain.startswith("0111"), _prefixed(other)))
+        .otherwise(_prefixed(other))
+    )
 
 
-def url_host(website: Column) -> Column:
-    """Host of an address with or without a scheme."""
+def _prefixed(national: Column) -> Column:
+    return F.concat(F.lit("+1"), blank_to_null(national))
+
+
+def host_of(site: Column) -> Column:
+    """Host of a lower-case, stripped address with or without a scheme."""
     host = F.regexp_extract(
-        strip(F.lower(website)),
-        r"^(?:(?:[a-z][a-z0-9+.\-]*:)?//)?(?:[^/?#\\]*@)?\.*([^/?#\\:]*)", 1)
-    return blank_to_null(F.regexp_replace(host, r"\.+$", ""))
+        site, r"^(?:(?:[a-z][a-z0-9+.\-]*:)?//)?(?:[^/?#\\]*@)?\.*([^/?#\\:]*)", 1)
+    return blank_to_null(F.rtrim(host, F.lit(".")))
+
+
+def url_host(website: Column) -> Column:
+    return host_of(strip(F.lower(website)))
 
 
 def domain_of_host(host: Column, suffixes: Sequence[str] = tuple(TWO_LABEL_SUFFIXES)) -> Column:
@@ -72,13 +97,14 @@ def domain_of_host(host: Column, suffixes: Sequence[str] = tuple(TWO_LABEL_SUFFI
     Any alphabetic top-level name counts as a suffix. A host that is itself a
     suffix has no domain.
     """
-    two = "|".join(s.replace(".", r"\.") for s in suffixes)
-    single = "|".join(SINGLE_LABEL_SUFFIXES)
-    address_or_name = rf"^(\d{{1,3}}(?:\.\d{{1,3}}){{3}}|(?!(?:{single})$)[^.]+)$"
-    registered = rf"(?:^|\.)(?!(?:{two})$)([^.]+\.(?:{two}|[a-z]{{2,}}|xn--[a-z0-9\-]+))$"
-    odd_ending = r"\.([^.]*[^a-z.\-][^.]*)$"
-    found = [blank_to_null(F.regexp_extract(host, p, 1)) for p in (address_or_name, registered, odd_ending)]
-    return F.coalesce(*found)
+    tail = F.substring_index(host, ".", -2)
+    return (
+        F.when(~F.contains(host, F.lit(".")), F.when(~host.isin(SINGLE_LABEL_SUFFIXES), host))
+        .when(tail.isin(list(suffixes)), F.when(host != tail, F.substring_index(host, ".", -3)))
+        .when(host.rlike(r"\.(?:[a-z]{2,}|xn--[a-z0-9\-]+)$"), tail)
+        .when(host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), host)
+        .otherwise(F.substring_index(host, ".", -1))
+    )
 
 
 def normalize_domain(website: Column, suffixes: Sequence[str] = tuple(TWO_LABEL_SUFFIXES)) -> Column:

@@ -11,9 +11,11 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE_RUN = f"[{WHITE_SPACE}]+"
+UNEVEN_SPACE = f"[{WHITE_SPACE[1:]}]|  "
 
 # Words that mean "no value".
 NA_TOKENS = ["n/a", "na", "n / a", "none", "null", "nil", "-", "--"]
+LONGEST_NA_TOKEN = max(map(len, NA_TOKENS))
 
 # Province names and their codes.
 PROVINCE_CODES = {
@@ -39,12 +41,19 @@ def strip(value: Column) -> Column:
 
 
 def collapse_spaces(value: Column) -> Column:
-    return F.regexp_replace(value, SPACE_RUN, " ")
+    """Runs of white space become one space; most text has none to collapse."""
+    return F.when(value.rlike(UNEVEN_SPACE), F.regexp_replace(value, SPACE_RUN, " ")).otherwise(value)
+
+
+def clean_stripped(stripped: Column) -> Column:
+    """NULL for stripped text that says nothing. Only short text can be a token."""
+    said = (F.length(stripped) > LONGEST_NA_TOKEN) | (
+        (stripped != "") & ~F.lower(stripped).isin(NA_TOKENS))
+    return F.when(said, stripped)
 
 
 def clean_string(value: Column) -> Column:
-    stripped = strip(value)
-    return F.when((stripped != "") & ~F.lower(stripped).isin(NA_TOKENS), stripped)
+    return clean_stripped(strip(value))
 
 
 def normalize_name(value: Column) -> Column:
@@ -55,10 +64,14 @@ def clean_lower(value: Column) -> Column:
     return clean_string(F.lower(value))
 
 
-def normalize_province(value: Column) -> Column:
-    code = F.upper(strip(value))
+def province_code(stripped: Column) -> Column:
+    code = F.upper(stripped)
     known = F.try_element_at(literal_map(PROVINCE_CODES), code)
-    return F.when(value != "", F.coalesce(known, F.left(code, F.lit(2))))
+    return F.when(F.length(code) <= 2, code).otherwise(F.coalesce(known, F.left(code, F.lit(2))))
+
+
+def normalize_province(value: Column) -> Column:
+    return F.when(value != "", province_code(strip(value)))
 
 
 def normalize_postal_code(value: Column) -> Column:
@@ -80,17 +93,18 @@ def digits_only(value: Column) -> Column:
     return blank_to_null(F.regexp_replace(value, "[^0-9]", ""))
 
 
+def date_of(stripped: Column) -> Column:
+    iso = stripped.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$")
+    other = F.regexp_replace(
+        F.regexp_replace(stripped, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
+        r"^(\d{4})/?(\d{1,2})/?(\d{1,2})$", "$1-$2-$3")
+    return F.when(iso, stripped.try_cast("date")).when(
+        stripped.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$|^\d{4}/\d{1,2}/\d{1,2}$|^\d{8}$"), other.try_cast("date"))
+
+
 def parse_date(value: Column) -> Column:
     """A date as a database would read it; anything else is NULL."""
-    text = strip(value)
-    return (
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"), text.try_cast("date"))
-        .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.regexp_replace(text, "/", "-").try_cast("date"))
-        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"),
-              F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2").try_cast("date"))
-        .when(text.rlike(r"^\d{8}$"),
-              F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date"))
-    )
+    return date_of(strip(value))
 
 
 # Letters with a mark and the plain letter that stands for each.

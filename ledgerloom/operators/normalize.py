@@ -8,41 +8,44 @@ from ledgerloom.functions import reach, text
 from ledgerloom.operators.keys import name_key, postal_name_key
 from ledgerloom.schemas import BUSINESS_STATUSES, CONFIDENCE, SOURCE_KINDS
 
+NAMES = ["legal_name", "operating_name", "city", "address_line1", "industry"]
+CODES = ["naics_code", "corporation_number", "business_number"]
+LOWERED = ["website", "email"]
+
 
 def normalize_records(raw: DataFrame) -> DataFrame:
-    """One projection: RAW columns in, NORM columns out.
+    """RAW columns in, NORM columns out; narrow steps only.
 
-    ``incorporation_text`` keeps the date as it was written, so that the
+    The steps keep a value that later ones use several times in a column of its
+    own. ``incorporation_text`` keeps the date as it was written, so that the
     validity split can tell a missing date from an unreadable one.
     """
     c = F.col
-    normal = raw.select(
-        "seq",
-        text.normalize_name(c("legal_name")).alias("legal_name"),
-        text.normalize_name(c("operating_name")).alias("operating_name"),
-        text.normalize_province(c("province")).alias("province"),
-        text.normalize_name(c("city")).alias("city"),
-        text.normalize_name(c("address_line1")).alias("address_line1"),
-        text.normalize_postal_code(c("postal_code")).alias("postal_code"),
-        text.clean_lower(c("website")).alias("website"),
-        reach.normalize_domain(c("website")).alias("domain"),
-        reach.normalize_phone(c("phone")).alias("phone"),
-        text.clean_lower(c("email")).alias("email"),
-        text.normalize_name(c("industry")).alias("industry"),
-        text.clean_string(c("naics_code")).alias("naics_code"),
-        text.clean_string(c("corporation_number")).alias("corporation_number"),
-        text.clean_string(c("business_number")).alias("business_number"),
-        text.parse_date(c("incorporation_date")).alias("incorporation_date"),
-        text.blank_to_null(text.strip(c("incorporation_date"))).alias("incorporation_text"),
+    stripped = raw.withColumns({
+        **{f: text.strip(c(f)) for f in [*NAMES, *CODES, "incorporation_date"]},
+        **{f: text.strip(F.lower(f)) for f in LOWERED},
+        "province": F.when(c("province") != "", text.strip(c("province"))),
+        "plain_phone": reach.plain_number(c("phone")),
+    })
+    cleaned = stripped.withColumns({f: text.clean_stripped(c(f)) for f in [*NAMES, *CODES, *LOWERED]})
+    named = cleaned.withColumns({
+        **{f: text.collapse_spaces(c(f)) for f in NAMES}, "site_host": reach.host_of(c("website"))})
+    keyed = named.withColumns({
+        "name_key": name_key(c("legal_name"), c("operating_name")),
+        "postal_code": text.normalize_postal_code(c("postal_code")),
+    })
+    return keyed.select(
+        "seq", "legal_name", "operating_name", text.province_code(c("province")).alias("province"),
+        "city", "address_line1", "postal_code", "website",
+        reach.domain_of_host(c("site_host")).alias("domain"),
+        reach.normalize_phone(c("phone"), plain=c("plain_phone")).alias("phone"),
+        "email", "industry", *CODES,
+        text.date_of(c("incorporation_date")).alias("incorporation_date"),
+        text.blank_to_null(c("incorporation_date")).alias("incorporation_text"),
         text.normalize_status(c("business_status")).alias("business_status"),
-        "employee_count_min", "employee_count_max",
-        "source_name", "source_kind", "source_url",
+        "employee_count_min", "employee_count_max", "source_name", "source_kind", "source_url",
         c("confidence").cast(CONFIDENCE).alias("confidence"),
-    )
-    return (
-        normal
-        .withColumn("name_key", name_key(c("legal_name"), c("operating_name")))
-        .withColumn("postal_name_key", postal_name_key(c("postal_code"), c("name_key")))
+        "name_key", postal_name_key(c("postal_code"), c("name_key")).alias("postal_name_key"),
     )
 
 

@@ -18,6 +18,8 @@ TUNING = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Wide projections make methods the JVM would leave uncompiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
