@@ -26,7 +26,7 @@ def filtered(key: str, wanted: LeadFilter, condition: str) -> None:
 
 
 filtered("f01_search", LeadFilter(search="SHOP 1"), "(legal_name ilike '%shop 1%' or operating_name ilike '%shop 1%')")
-filtered("f02_province", LeadFilter(province="ON"), "province = 'ON'")
+filtered("f02_province", LeadFilter(province="NA"), "province = 'NA'")
 filtered("f03_city", LeadFilter(city="city 1"), "city ilike '%city 1%'")
 filtered("f04_industry", LeadFilter(industry="build"), "industry ilike '%build%'")
 filtered("f05_size_category", LeadFilter(size_category="20-49"), "size_category = '20-49'")
@@ -71,8 +71,7 @@ def stale(spark, sf_dir):
 
 
 @book.add("f14_recent_events", f"select event_id, event_type from biz_events "
-          f"where detected_at >= timestamp '{inputs.ORDERS_AS_OF}' - interval 30 days "
-          f"and detected_at >= timestamp '2024-01-25 00:00:00' - interval 10 days")
+          f"where detected_at >= timestamp '2024-01-25 00:00:00' - interval 10 days")
 def recent_events(spark, sf_dir):
     events = inputs.events(spark, sf_dir)
     return events.where(F.col("detected_at") >= inputs.as_of("2024-01-25 00:00:00") - F.expr("interval 10 days")).select(
@@ -201,11 +200,11 @@ def per_source(spark, sf_dir):
     return jobs.businesses_per_source(inputs.field_sources(spark, sf_dir))
 
 
-@book.add("a08_filtered_total", f"select count(*) as total from businesses where {FREE} and province = 'ON' "
+@book.add("a08_filtered_total", f"select count(*) as total from businesses where {FREE} and province = 'NA' "
           "and phone is not null")
 def filtered_total(spark, sf_dir):
     return leads.total(leads.filter_leads(
-        inputs.businesses(spark, sf_dir), LeadFilter(province="ON", phone_available=True)))
+        inputs.businesses(spark, sf_dir), LeadFilter(province="NA", phone_available=True)))
 
 
 FLAT = """
