@@ -284,8 +284,8 @@ def extraction(pages: str) -> str:
     return f"""
 select page_id, url as source_url, phrase_order, title_raw, role_category, {_EMAIL} as email, {_PHONE} as phone,
   cast(0.5 as decimal(4,2)) as confidence
-from (select *, substr(html, greatest(at - 201, 0) + 1, at - 1 + 200 - greatest(at - 201, 0)) as near from (
-  select *, strpos(lower(html), title_raw) as at from {pages}
+from (select *, substr(html, greatest(pos - 201, 0) + 1, pos - 1 + 200 - greatest(pos - 201, 0)) as near from (
+  select *, strpos(lower(html), title_raw) as pos from {pages}
   join (values {_PHRASES}) as p(phrase_order, title_raw, role_category) on contains(lower(html), title_raw)))"""
 
 
