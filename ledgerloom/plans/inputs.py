@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.operators import merge, scoring, suppression
 from ledgerloom.operators.normalize import normalize_records, split_valid
 from ledgerloom.schemas import RAW
-from ledgerloom.session import materialize
+from ledgerloom.session import materialize, spread
 
 # The fixed clock of the derived tables.
 AS_OF = "2024-01-31 00:00:00"
@@ -141,7 +141,7 @@ def firm_pages_text() -> str:
 
 def raw_business(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = derive(spark, sf_dir, RAW_BUSINESS).withColumn("extra", F.lit(None))
-    return df.select([F.col(f.name).cast(f.dataType) for f in RAW.fields])
+    return spread(df.select([F.col(f.name).cast(f.dataType) for f in RAW.fields]), "seq")
 
 
 def good_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,7 +306,7 @@ def candidate_pages(spark, sf_dir):
     return ct.candidate_pages(pages).select("page_id", "host", "path_order")
 
 
-FOUND = extraction(f"({CANDIDATES})").replace("select page_id, url", "select page_id, host, path_order, url")
+FOUND = extraction(f"({CANDIDATES})").replace("select page_id, url", "select page_id, host, path_order, url", 1)
 
 
 @book.add("w05_first_contacts", f"""
