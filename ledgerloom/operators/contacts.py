@@ -104,10 +104,11 @@ def site_contacts(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """Contacts of each target business from the landed pages of its site."""
     sites = targets.select("business_id", reach.url_host(F.col("website")).alias("host"))
     visited = candidate_pages(pages)
-    # Extraction runs once per page, before pages meet the businesses that
-    # share a host.
-    found = extract_contacts(visited, "host", "path_order")
-    return first_contacts(sites.join(found, "host"), "business_id", ["path_order", "source_url"])
+    # Pages are read and their contacts reduced once per host; only the result
+    # meets the businesses that share the host.
+    found = first_contacts(
+        extract_contacts(visited, "host", "path_order"), "host", ["path_order", "source_url"])
+    return sites.join(found, "host").drop("host")
 
 
 def as_contact_rows(found: DataFrame, source_name: str, as_of: Column) -> DataFrame:

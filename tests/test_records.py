@@ -125,6 +125,21 @@ def test_resolution_in_order(spark, seed):
     assert {r.seq: r.business_id for r in got} == expected
 
 
+def test_hot_keys_take_the_other_way(spark):
+    rows = keyed_rows(5)
+    batch, none = records(spark, rows), spark.createDataFrame([], IDENTIFIERS)
+
+    def links(hot_rows):
+        return {tuple(r) for r in resolve.exact_links(batch, none, hot_rows).collect()}
+
+    assert links(3) == links(10**6) == links(0)
+    edges = {tuple(r) for r in resolve.shared_key_edges(batch).collect()}
+    assert edges == {tuple(r) for r in resolve.shared_key_edges(batch, 2).collect()}
+    known = keys.register_identifiers(batch.withColumn("business_id", F.col("seq")))
+    hits = {tuple(r) for r in match.exact_match(batch, known).collect()}
+    assert hits == {tuple(r) for r in match.exact_match(batch, known, 3).collect()}
+
+
 def test_resolution_continues_from_a_snapshot(spark):
     rows = keyed_rows(11)
     expected, _ = resolved_in_order(rows)
