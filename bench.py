@@ -12,7 +12,6 @@ from ledgerloom.session import build_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-# Raw records a query starts from, for records per second.
 HEADLINE = [
     "n09_normalize_record", "a11_survivorship", "d04_provenance", "j01_exact_match", "j03b_resolve_in_order",
     "j02_similar_names", "u02_register_keys", "d06_change_events", "d07_rescore", "a09_flatten_contacts",

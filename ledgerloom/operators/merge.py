@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.measures import classify_size
-from ledgerloom.schemas import MERGE_FIELDS
+from ledgerloom.operators.skew import HOT_ROWS, lookup
+from ledgerloom.schemas import BUSINESSES, MERGE_FIELDS
 
 # Records of one business that a task may sort as one group.
 RUN_LENGTH = 1_000_000
@@ -143,16 +144,17 @@ def upsert_results(history: DataFrame) -> DataFrame:
     return history.where(~F.col("is_prior")).select("seq", "business_id", "is_new", "changed_fields")
 
 
-def flag_current(field_sources: DataFrame) -> DataFrame:
+def flag_current(field_sources: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mark the current value of each (business, field).
 
     Confidence never falls along the accepted values, so the last one is
     current; with a log of all values the strongest one is.
     """
     order = F.struct("confidence", "seq")
-    pick = field_sources.groupBy("business_id", "field_name").agg(F.max(order).alias("pick"))
+    key = ["business_id", "field_name"]
+    pick = field_sources.groupBy(*key).agg(F.max(order).alias("pick"), F.count(F.lit(1)).alias("held"))
     return (
-        field_sources.join(pick, ["business_id", "field_name"])
+        lookup(field_sources, pick, key, "held", "seq", hot_rows)
         .withColumn("is_current_pick", order == F.col("pick"))
         .drop("pick")
     )
@@ -195,9 +197,7 @@ def merge_snapshot(snapshot: DataFrame | None, history: DataFrame, as_of: Column
     touched = rows.where(~F.col("is_prior")).groupBy("business_id").agg(F.max(any_change).alias("changed"))
     fresh = golden.join(touched, "business_id")
     if snapshot is None:
-        from ledgerloom.schemas import BUSINESSES
         snapshot = history.sparkSession.createDataFrame([], BUSINESSES)
-    replaced = [*MERGE_FIELDS, "picked", "size_category", "size_confidence"]
     old = snapshot.select(*[F.col(c).alias(f"old_{c}") for c in snapshot.columns])
     both = old.join(fresh, F.col("old_business_id") == F.col("business_id"), "full_outer")
     is_touched = F.col("business_id").isNotNull()
@@ -217,7 +217,6 @@ def merge_snapshot(snapshot: DataFrame | None, history: DataFrame, as_of: Column
             F.col("old_last_updated_at")),
         "created_at": F.coalesce("old_created_at", as_of),
     }
-    assert set(replaced) <= set(values)
     return both.select(*[expr.alias(name) for name, expr in values.items()])
 
 

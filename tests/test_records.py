@@ -70,6 +70,11 @@ def test_history_equals_sequential_merge(spark, seed, run_length):
     assert sorted((r.business_id, r.seq, r.field_name, r.field_value) for r in got.collect()) == sorted(log)
     got = merge.upsert_results(history).orderBy("seq").collect()
     assert [(r.seq, r.business_id, r.is_new, r.changed_fields) for r in got] == results
+    flagged = [
+        {(r.business_id, r.field_name, r.field_value) for r in merge.flag_current(
+            merge.accepted_values(history, F.current_timestamp()), hot_rows).where("is_current_pick").collect()}
+        for hot_rows in (4, 10**6)]
+    assert flagged[0] == flagged[1] == {(b, f, v[0]) for (b, f), v in current.items()}
     golden = {r.business_id: r for r in merge.golden_records(history).collect()}
     for (business, field), (value, confidence) in current.items():
         assert golden[business][field] == value
@@ -136,6 +141,11 @@ def test_hot_keys_take_the_other_way(spark):
     edges = {tuple(r) for r in resolve.shared_key_edges(batch).collect()}
     assert edges == {tuple(r) for r in resolve.shared_key_edges(batch, 2).collect()}
     known = keys.register_identifiers(batch.withColumn("business_id", F.col("seq")))
+    linked = batch.select("seq").join(resolve.exact_links(batch, none), "seq", "left")
+    expected = {tuple(r) for r in resolve.follow_parents(linked).collect()}
+    assert expected == {tuple(r) for r in resolve.follow_parents(linked, hot_rows=3).collect()}
+    star = spark.range(1, 200).select(F.col("id").alias("src"), (F.col("id") % 7 * 0).alias("dst"))
+    assert {r.component for r in resolve.connected_components(star, hot_rows=5).collect()} == {0}
     hits = {tuple(r) for r in match.exact_match(batch, known).collect()}
     assert hits == {tuple(r) for r in match.exact_match(batch, known, 3).collect()}
 
