@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import containment, jaccard, substrings
+from ledgerloom.llm import containment, jaccard, packing, rans, separators, substrings
+from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +56,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@add("op5_rans_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are read back from the coded token files."""
+    manifest = rans.write_token_files(table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"), "word_bpe_49k.json", 2)
+    read = rans.read_token_files(spark, manifest)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@add("op6_hilbert_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 ids, along the curve."""
+    return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 0, 1024)
+
+
+@add("op7_separator_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of documents, found by their end-of-document ids in flat files."""
+    return separators.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 50256)
+
+
 @add("op9_ngram_jaccard_join", f"""
 with recursive w as (select doc_id, {words_sql('text', True)} as w from documents),
 s as (select distinct doc_id, array_to_string(w[i:i + {JOIN_WORDS - 1}], ' ') as g

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 SLICE_BYTES = 4 << 20
 
 _SEPARATOR = np.zeros(256, bool)
@@ -145,7 +145,7 @@ def runs(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.empty(m, np.uint64)
     base = _WORD_BASE[seed]
-    step = 1 << 19
+    step = 1 << 16
     for a in range(0, m, step):
         b = min(m, a + step)
         power, inverse = _table(base, b - a + n)
