@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import containment, jaccard, packing, rans, separators, substrings
+from ledgerloom.llm import containment, jaccard, packing, quality, rans, separators, sharding, substrings
 from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ CHECKS: dict[str, str] = {}
 JOIN_WORDS, JOIN_PERCENT = 4, 85
 WINDOW = 20
 ITEM_WORDS, ITEM_PERCENT = 5, 80
+KEEP_FROM = 0.3
 
 
 def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -56,6 +57,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@add("op4_quality_ftrl")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.fit(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return quality.score(docs, weights).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+
+
 @add("op5_rans_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as they are read back from the coded token files."""
@@ -76,6 +90,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 50256)
 
 
+@add("op8_sampled_splitters")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sixteen shards of near equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @add("op9_ngram_jaccard_join", f"""
 with recursive w as (select doc_id, {words_sql('text', True)} as w from documents),
 s as (select distinct doc_id, array_to_string(w[i:i + {JOIN_WORDS - 1}], ' ') as g
