@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import containment, jaccard, packing, quality, rans, separators, sharding, substrings
+from ledgerloom.llm import containment, embeddings, jaccard, packing, quality, rans, separators, sharding, substrings
 from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ JOIN_WORDS, JOIN_PERCENT = 4, 85
 WINDOW = 20
 ITEM_WORDS, ITEM_PERCENT = 5, 80
 KEEP_FROM = 0.3
+LEAST_COSINE = 0.95
 
 
 def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -57,6 +58,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@add("op1_embedding_hnsw", f"""
+with recursive e as (select vec_id, embedding::double[] as v from embeddings),
+u as (select vec_id, v, sqrt(list_sum([x * x for x in v])) as n from e
+      where vec_id is not null and len(v) > 0 and len([x for x in v if x is null or not isfinite(x)]) = 0),
+good as (select * from u where n > 0),
+link as (select a.vec_id as a, b.vec_id as b from good as a join good as b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+         where list_dot_product(a.v, b.v) / (a.n * b.n) >= {LEAST_COSINE}),
+reach(vec_id, other) as (select vec_id, vec_id from e union select reach.vec_id, link.b from reach join link on reach.other = link.a)
+select r.vec_id, coalesce(l.n, 0)::bigint as n_links, r.m as component_id, r.m = r.vec_id as kept
+from (select vec_id, min(other) as m from reach group by 1) as r left join (select a, count(*) as n from link group by 1) as l on l.a = r.vec_id""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), LEAST_COSINE)
+
+
 def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
