@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import containment, embeddings, jaccard, packing, quality, rans, separators, sharding, substrings
+from ledgerloom.llm import brown, containment, embeddings, jaccard, packing, quality, rans, separators, sharding, substrings
 from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,14 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+@add("op2_brown_classes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by class bigrams, beside that by single words."""
+    docs = table(spark, sf_dir, "documents")
+    return brown.score(docs.withColumn("held_out", remainder(7) == 2)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @add("op4_quality_ftrl")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels outside the held-out fold."""
