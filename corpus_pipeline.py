@@ -13,17 +13,28 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
-from ledgerloom.llm import containment, jaccard, substrings  # noqa: E402
+from ledgerloom.llm import containment, jaccard, packing, quality, substrings  # noqa: E402
 from ledgerloom.llm.scratch import Scratch  # noqa: E402
 from ledgerloom.session import tune  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+KEEP_FROM = 0.3
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+WINDOW = 20
+ITEM_WORDS, ITEM_PERCENT = 5, 80
+TOKENIZER, END_ID, LENGTH = "byte_bpe_50k.json", 0, 1024
 
 #: The stages are iterative and learned; no SQL says what they do. tests/llm compares each with a plain version.
 ORACLE_SQL = None
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality scores below KEEP_FROM go. Labels of one fold in five are left for measuring."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    weights = quality.fit(tune(spark) and docs, labels)
+    return quality.score(docs, weights, carry=["text", "lang", "source", "n_chars"]).where(F.col("score") >= KEEP_FROM).select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that are alike in 80 % of their five-word shingles, the one of smallest id stays.
 
@@ -36,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows of twenty that also start earlier go; texts that lose nothing keep their white space."""
-    cut = substrings.remove_repeats(tune(spark) and docs, carry=["text", "lang", "source", "n_chars"])
+    cut = substrings.remove_repeats(tune(spark) and docs, WINDOW, carry=["text", "lang", "source", "n_chars"])
     changed = F.col("n_removed") > 0
     return cut.select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
                       F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -45,14 +56,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold at least 80 % of the five-word shingles of a test item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = containment.contained_items(tune(spark) and docs, items).select("doc_id").distinct()
+    gone = containment.contained_items(tune(spark) and docs, items, ITEM_WORDS, ITEM_PERCENT).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of LENGTH ids."""
+    return packing.pack(tune(spark) and docs, TOKENIZER, END_ID, LENGTH)
+
+
 STAGES = [
+    ("quality classifier", good_quality),
     ("n-gram Jaccard join", near_duplicates),
     ("substring dedup", repeated_passages),
     ("benchmark decontamination", decontaminate),
+    ("packing", packed),
 ]
 
 
