@@ -84,14 +84,14 @@ def scan_documents(spark: SparkSession, names: DataFrame, scratch: Scratch, kind
     here = F.col("block") * block
     n = F.size("ends")
     # Rows of this scan are one for each block of a file and carry two numbers.
-    carry = (found.select("file", "block", "size", n.alias("n"), (here + F.element_at("ends", -1) + 1).alias("next"))
+    carry = (found.select("file", "block", "size", n.alias("n"), (here + F.try_element_at("ends", F.lit(-1)) + 1).alias("next"))
              .withColumn("ordinal", F.coalesce(F.sum("n").over(upto), F.lit(0)))
              .withColumn("begin", F.coalesce(F.max("next").over(upto), F.lit(0)))
              .withColumn("last", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull()))
     joined = found.select("file", "block", "ends").join(carry, ["file", "block"])
     inner = (joined.select("file", "ordinal", "begin", (F.col("block") * block).alias("here"), "ends", F.posexplode("ends").alias("k", "end"))
              .select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"),
-                     F.when(F.col("k") == 0, F.col("begin")).otherwise(F.col("here") + F.expr("ends[k - 1]") + 1).alias("start"),
+                     F.when(F.col("k") == 0, F.col("begin")).otherwise(F.col("here") + F.expr("get(ends, k - 1)") + 1).alias("start"),
                      (F.col("here") + F.col("end") + 1).alias("stop"))
              .select("file", "ordinal", "start", (F.col("stop") - F.col("start")).alias("n_tokens")))
     tail = (carry.where("last").withColumn("begin", F.coalesce("next", "begin"))
