@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import reach
 from ledgerloom.functions.labels import PAGE_TITLES
@@ -19,8 +19,6 @@ REACH = 200
 PAGE_CONFIDENCE = "0.50"
 WEBSITE_SOURCE = "company_website_enrichment"
 OFFICER_SOURCE = "corporations_canada_api"
-# Contacts joined into one cell of an export.
-CELL_LIMIT = 100_000
 
 
 def extract_contacts(pages: DataFrame, *carry: str) -> DataFrame:
@@ -78,7 +76,7 @@ def first_contacts(found: DataFrame, owner: str, page_order: list[str]) -> DataF
     return best.select(owner, "role_category", "email", *[F.col("first")[c].alias(c) for c in rest])
 
 
-def website_targets(businesses: DataFrame, contacts: DataFrame, limit: int | None = 200) -> DataFrame:
+def website_targets(businesses: DataFrame, contacts: DataFrame, limit: int | None = None) -> DataFrame:
     """Businesses with a website and no contact at all, newest update first."""
     known = contacts.select("business_id").distinct()
     found = businesses.where(F.col("website").isNotNull()).join(known, "business_id", "left_anti").select(
@@ -89,7 +87,7 @@ def website_targets(businesses: DataFrame, contacts: DataFrame, limit: int | Non
 
 
 def officer_targets(
-    businesses: DataFrame, contacts: DataFrame, limit: int | None = 50, source: str = OFFICER_SOURCE
+    businesses: DataFrame, contacts: DataFrame, limit: int | None = None, source: str = OFFICER_SOURCE
 ) -> DataFrame:
     """Businesses with a corporation number and no contact from the source."""
     known = contacts.where(F.col("source_name") == source).select("business_id").distinct()
@@ -130,34 +128,40 @@ def active_contact_counts(contacts: DataFrame) -> DataFrame:
     return contacts.groupBy("business_id").agg(F.count_if("is_active").alias("contact_count"))
 
 
-def flatten_contacts(contacts: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
+def _listed() -> Column:
+    return F.coalesce(blank_to_null(F.col("full_name")), blank_to_null(F.col("title_raw")))
+
+
+def flatten_contacts(contacts: DataFrame) -> DataFrame:
     """Three '; '-joined strings per business, strongest contact first.
 
-    A business with more contacts than a cell should hold gets further rows,
-    numbered by ``part``: no contact is left out and no group is unbounded.
+    One row per business at any size. Contacts meet first by business,
+    confidence and the beginning of their id, which keeps the order; only the
+    few strings of a business are then put together.
     """
     active = contacts.where("is_active")
-    # At most rows / cell_limit businesses, so this side is small by construction.
-    large = active.groupBy("business_id").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > cell_limit)
-    splits = F.ceil(F.col("held") / cell_limit)
-    part = F.when(
-        F.col("held").isNotNull(),
-        (100 - F.coalesce(F.col("confidence"), F.lit(0)) * 100).cast("long") * splits
-        + F.pmod(F.xxhash64("contact_id"), splits)).otherwise(0)
-    listed = F.coalesce(blank_to_null(F.col("full_name")), blank_to_null(F.col("title_raw")))
     entry = F.struct(
-        (-F.col("confidence")).alias("order"), "contact_id",
-        F.concat(listed, F.lit(" ("), F.col("role_category"), F.lit(")")).alias("name"),
+        "contact_id", F.concat(_listed(), F.lit(" ("), F.col("role_category"), F.lit(")")).alias("name"),
         blank_to_null(F.col("email")).alias("email"), blank_to_null(F.col("phone")).alias("phone"))
-    grouped = active.join(F.broadcast(large), "business_id", "left").withColumn("part", part).groupBy(
-        "business_id", "part").agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    order = F.struct((-F.col("confidence")).alias("strength"), F.left("contact_id", F.lit(2)).alias("ids"))
+    cells = ("name", "email", "phone")
+    runs = active.groupBy("business_id", order.alias("order")).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+
+    def joined(items: str, column: str) -> Column:
+        return F.array_join(F.transform(items, lambda i: i[column]), "; ")
+
+    # A run without any such value must leave no separator behind.
+    strings = runs.select("business_id", F.struct("order", *[blank_to_null(joined("items", c)).alias(c) for c in cells]).alias("run"))
+    whole = strings.groupBy("business_id").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    return whole.select("business_id", joined("runs", "name").alias("decision_makers"),
+                        joined("runs", "email").alias("contact_emails"), joined("runs", "phone").alias("contact_phones"))
 
-    def joined(column: str) -> Column:
-        return F.array_join(F.transform("items", lambda i: i[column]), "; ")
 
-    return grouped.select(
-        "business_id", "part", joined("name").alias("decision_makers"),
-        joined("email").alias("contact_emails"), joined("phone").alias("contact_phones"))
+def contact_lines(contacts: DataFrame) -> DataFrame:
+    """Active contacts one a row with their place in the business, for readers of businesses with very many."""
+    place = F.row_number().over(Window.partitionBy("business_id").orderBy(F.desc_nulls_first("confidence"), "contact_id"))
+    return contacts.where("is_active").select(
+        "business_id", place.alias("place"), "contact_id", _listed().alias("listed"), "role_category", "email", "phone")
 
 
 def enrichment_yield(targets: DataFrame, found: DataFrame) -> DataFrame:

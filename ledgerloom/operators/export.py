@@ -21,12 +21,12 @@ EXPORT_COLUMNS = [
 def export_rows(
     businesses: DataFrame, contacts: DataFrame, wanted: LeadFilter = LeadFilter(), events: DataFrame | None = None
 ) -> DataFrame:
-    """Export columns plus the sort keys (business_id, part)."""
+    """Export columns and business_id, one row per business."""
     leads = filter_leads(businesses, wanted, events, contacts)
     flat = flatten_contacts(contacts)
     text = ["decision_makers", "contact_emails", "contact_phones"]
     return leads.join(flat, "business_id", "left").select(
-        "business_id", F.coalesce("part", F.lit(0)).alias("part"),
+        "business_id",
         *[F.coalesce(c, F.lit("")).alias(c) if c in text else F.col(c) for c in EXPORT_COLUMNS])
 
 
@@ -35,7 +35,7 @@ def write_export(rows: DataFrame, path: str) -> None:
 
     A range sort, so each task writes its own share.
     """
-    order = [F.desc_nulls_first("quality_score"), F.col("business_id"), F.col("part")]
+    order = [F.desc_nulls_first("quality_score"), F.col("business_id")]
     (
         rows.orderBy(*order).select(EXPORT_COLUMNS).write
         .option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")

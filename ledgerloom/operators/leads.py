@@ -142,8 +142,9 @@ def totals(businesses: DataFrame) -> DataFrame:
 
 
 def count_by(businesses: DataFrame, column: str) -> DataFrame:
+    """Callable businesses by a column, without those where it is missing or blank."""
     return (
-        businesses.where(callable_leads() & F.col(column).isNotNull())
+        businesses.where(callable_leads() & (F.trim(column) != ""))
         .groupBy(column).agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), column)
     )
 

@@ -25,7 +25,8 @@ def rescore(businesses: DataFrame, contacts: DataFrame, field_sources: DataFrame
 
     Both sides are reduced to one row per business before they are joined.
     """
-    days = F.datediff(as_of, F.col("last_verified_at"))
+    # Whole days that have passed, not dates in between: 90 days and 5 hours are 90.
+    days = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_verified_at").cast("timestamp"))) / 86_400_000_000).cast("int")
     joined = (
         businesses.join(active_contact_counts(contacts), "business_id", "left")
         .join(source_counts(field_sources), "business_id", "left")

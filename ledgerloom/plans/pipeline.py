@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.operators import contacts as ct
 from ledgerloom.operators import events as ev
@@ -26,9 +26,38 @@ def moment(as_of: datetime | str | Column) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("timestamp")
 
 
+# Where a record comes from; the order of arrival is the order of these.
+ARRIVAL = ["_source", "_file", "_block", "_row"]
+
+
+def with_place(records: DataFrame, source: int) -> DataFrame:
+    """Marks each record with its source, file, block of the file and row.
+
+    To be applied to a scan, before any shuffle. Records that come from no file
+    count as one block each partition.
+    """
+    row = F.monotonically_increasing_id()
+    return records.select(
+        "*", F.lit(source).alias("_source"), F.input_file_name().alias("_file"),
+        F.when(F.input_file_name() != "", F.input_file_block_start()).otherwise(F.spark_partition_id().cast("long")).alias("_block"),
+        row.alias("_row"))
+
+
 def with_arrival_order(records: DataFrame, first: int = 0) -> DataFrame:
-    """Number the records in their present order, starting at ``first``."""
-    return records.withColumn("seq", F.lit(first) + F.monotonically_increasing_id())
+    """Number placed records from ``first`` without gaps, in order of arrival.
+
+    Partitions follow file size, so the place of a record is not its partition:
+    a count per block, a running sum over the blocks, and the place in the block.
+    """
+    block = ARRIVAL[:3]
+    counts = records.groupBy(*block).agg(F.count(F.lit(1)).alias("_held"))
+    # One short row per block of a file.
+    before = counts.withColumn("_before", F.sum("_held").over(
+        Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))).drop("_held")
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("_row"))
+    numbered = records.withColumn("_place", place).join(before, block)
+    return numbered.withColumn(
+        "seq", (F.lit(first) + F.coalesce("_before", F.lit(0)) + F.col("_place") - 1).cast("long")).drop(*ARRIVAL, "_place", "_before")
 
 
 def collect(spark: SparkSession, sources: Mapping[str, Source], first: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -38,9 +67,9 @@ def collect(spark: SparkSession, sources: Mapping[str, Source], first: int = 0)
     reported and does not stop the others.
     """
     frames, outcomes = [], []
-    for name, source in sources.items():
+    for place, (name, source) in enumerate(sources.items()):
         try:
-            frames.append(materialize(source(spark), f"raw-{name}"))
+            frames.append(materialize(with_place(source(spark), place), f"raw-{name}"))
             outcomes.append((name, None))
         except Exception as error:  # any failure of a source is its status
             outcomes.append((name, str(error).split("\n", 1)[0]))
@@ -74,19 +103,26 @@ def run_batch(
     store: TableStore,
     raw: DataFrame,
     as_of: datetime | str,
-    version: int | None = None,
     mode: str = "replay",
     fuzzy: bool = True,
     log_all: bool = False,
     outcomes: DataFrame | None = None,
+    stream: str | None = None,
+    batch: int | None = None,
 ) -> int:
-    """Fold a batch of RAW records into the store as its next version."""
+    """Fold a batch of RAW records into the store as its next version.
+
+    The store remembers the highest ``seq`` ever seen, rejected records
+    included, and the batch of a stream that this version holds.
+    """
     spark = tune(store.spark)
     now = moment(as_of)
-    before = store.version() if version is None else version - 1
+    before = store.version()
     version = before + 1
 
     records = materialize(normalize_records(raw), "records")
+    last_seq = records.agg(F.max("seq")).first()[0]
+    next_seq = max(store.next_seq(), -1 if last_seq is None else last_seq + 1)
     good, rejected = split_valid(records)
     ids = materialize(assign_businesses(good, store, before, mode, fuzzy), "ids")
     records = good.join(ids, "seq")
@@ -113,7 +149,7 @@ def run_batch(
     if outcomes is not None:
         log_rows = log_rows.unionByName(jobs.failed_job_log(outcomes, now, now))
     store.write("job_runs", log_rows, version)
-    store.commit(version)
+    store.commit(version, stream, batch, next_seq)
     return version
 
 
@@ -121,8 +157,7 @@ def run_sources(
     store: TableStore, sources: Mapping[str, Source], as_of: datetime | str, mode: str = "replay", fuzzy: bool = True
 ) -> int:
     """Collect every source and fold all of it in as one version."""
-    last = store.read("identifiers").agg(F.max("first_seq")).first()[0]
-    raw, outcomes = collect(store.spark, sources, 0 if last is None else last + 1)
+    raw, outcomes = collect(store.spark, sources, store.next_seq())
     raw = materialize(raw, "raw")
     return run_batch(store, raw, as_of, mode=mode, fuzzy=fuzzy, outcomes=outcomes)
 
@@ -149,13 +184,13 @@ def _add_contacts(store: TableStore, found: DataFrame, source: str, as_of: datet
     return _amend(store, businesses, {"contacts": fresh})
 
 
-def enrich_websites(store: TableStore, pages: DataFrame, as_of: datetime | str, limit: int | None = 200) -> int:
+def enrich_websites(store: TableStore, pages: DataFrame, as_of: datetime | str, limit: int | None = None) -> int:
     """Contacts of businesses without any, from landed pages of their sites."""
     targets = ct.website_targets(store.read("businesses"), store.read("contacts"), limit)
     return _add_contacts(store, ct.site_contacts(targets, pages), ct.WEBSITE_SOURCE, as_of)
 
 
-def enrich_officers(store: TableStore, payloads: DataFrame, as_of: datetime | str, limit: int | None = 50) -> int:
+def enrich_officers(store: TableStore, payloads: DataFrame, as_of: datetime | str, limit: int | None = None) -> int:
     """Officers of businesses without any, from landed corporation JSON
     (corporation_number, payload)."""
     targets = ct.officer_targets(store.read("businesses"), store.read("contacts"), limit)

@@ -122,7 +122,7 @@ NO_CONTACT = "business_id not in (select business_id from biz_contacts)"
 select business_id, website, last_updated_at from businesses where website is not null and {NO_CONTACT}
 order by last_updated_at desc nulls first, business_id limit 200""")
 def website_targets(spark, sf_dir):
-    return ct.website_targets(inputs.businesses(spark, sf_dir), inputs.contacts(spark, sf_dir))
+    return ct.website_targets(inputs.businesses(spark, sf_dir), inputs.contacts(spark, sf_dir), 200)
 
 
 NO_OFFICER = "business_id not in (select business_id from biz_contacts where source_name = 'corporations_canada_api')"
@@ -132,7 +132,7 @@ NO_OFFICER = "business_id not in (select business_id from biz_contacts where sou
 select business_id, corporation_number, quality_score from businesses where corporation_number is not null
   and {NO_OFFICER} order by quality_score desc nulls first, business_id limit 50""")
 def officer_targets(spark, sf_dir):
-    return ct.officer_targets(inputs.businesses(spark, sf_dir), inputs.contacts(spark, sf_dir))
+    return ct.officer_targets(inputs.businesses(spark, sf_dir), inputs.contacts(spark, sf_dir), 50)
 
 
 @book.add("t07_source_history", """
@@ -161,7 +161,7 @@ where {FREE}"""
 @book.add("t08_export_order", EXPORT + " order by quality_score desc, business_id")
 def export_order(spark, sf_dir):
     rows = export.export_rows(inputs.businesses(spark, sf_dir), inputs.contacts(spark, sf_dir))
-    return rows.orderBy(F.desc("quality_score"), "business_id", "part").select(export.EXPORT_COLUMNS)
+    return rows.orderBy(F.desc("quality_score"), "business_id").select(export.EXPORT_COLUMNS)
 
 
 @book.add("a01_event_counts", f"select event_type, count(*) as n from biz_events "
@@ -173,7 +173,7 @@ def event_counts(spark, sf_dir):
 for _key, _column in {"a02_by_province": "province", "a03_by_size": "size_category"}.items():
     def _count(spark, sf_dir, column=_column):
         return leads.count_by(inputs.businesses(spark, sf_dir), column)
-    book.add(_key, f"select {_column}, count(*) as cnt from businesses where {FREE} and {_column} is not null "
+    book.add(_key, f"select {_column}, count(*) as cnt from businesses where {FREE} and trim({_column}) <> '' "
              f"group by 1 order by cnt desc, 1")(_count)
 
 
@@ -208,7 +208,7 @@ def filtered_total(spark, sf_dir):
 
 
 FLAT = """
-select business_id, 0 as part,
+select business_id,
   coalesce(string_agg(coalesce(full_name, title_raw) || ' (' || role_category || ')', '; '
     order by confidence desc, contact_id), '') as decision_makers,
   coalesce(string_agg(email, '; ' order by confidence desc, contact_id), '') as contact_emails,

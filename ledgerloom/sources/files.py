@@ -23,11 +23,11 @@ def raw_records(df: DataFrame, **columns: Column) -> DataFrame:
         for f in RAW.fields if f.name != "seq"])
 
 
-def read_csv(spark: SparkSession, paths: Paths, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, paths: Paths, multi_line: bool = False) -> DataFrame:
     """Header CSV, all text, byte-order mark removed.
 
-    Quoted line breaks need ``multi_line``, which reads a file in one task; a
-    bulk file known to have none can be read split.
+    Files are split over tasks. Only a caller who declares that a source quotes
+    line breaks sets ``multi_line``, which reads each file in one task.
     """
     df = (
         spark.read.option("header", True).option("multiLine", multi_line)
@@ -48,7 +48,7 @@ def federal_registry(
     inactive_paths: Paths = (),
     province: str | None = None,
     source_name: str = "corporations_canada_federal",
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """The federal corporation files; ``inactive_paths`` adds the dissolved ones."""
     extra = [inactive_paths] if isinstance(inactive_paths, str) else list(inactive_paths)
@@ -105,7 +105,7 @@ def portal_records(df: DataFrame, source: Portal, headers: Sequence[str] | None
     )
 
 
-def portal_scan(spark: SparkSession, source: Portal, resources: Sequence[Paths], multi_line: bool = True) -> DataFrame:
+def portal_scan(spark: SparkSession, source: Portal, resources: Sequence[Paths], multi_line: bool = False) -> DataFrame:
     """All resources of a portal dataset.
 
     CKAN resources may differ in their headers, so each is mapped on its own. A

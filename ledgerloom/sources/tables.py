@@ -1,14 +1,19 @@
 """Versioned Parquet tables.
 
 A run writes the next version of each table and commits it last, with one small
-row. Readers take the last committed version, so a run that dies leaves nothing
-visible, and repeating it writes the same version again.
+row: the mark. Readers take the last committed version, so a run that dies leaves
+nothing visible, and repeating it writes the same version again. A mark also says
+which stream batch its version holds, which ``seq`` comes next and which tables
+have been written, so neither a batch nor a number is ever taken twice and a
+table that is lost is noticed.
+
+Only a store whose folder of marks does not exist is empty; any other table or
+mark that cannot be read is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from ledgerloom import schemas
 
@@ -23,40 +28,68 @@ GROWING_TABLES = {
     "rejects": schemas.REJECTS,
 }
 SCHEMAS = {**SNAPSHOT_TABLES, **GROWING_TABLES}
+MARK = "version long, stream string, batch long, next_seq long, tables array<string>"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.written: set[str] = set()
+
+    def marks(self) -> DataFrame:
+        """One row per committed version."""
+        path = f"{self.root}/versions"
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], MARK)
+        return self.spark.read.schema(MARK).json(f"{path}/*")
+
+    def mark(self) -> Row | None:
+        """The last committed mark; None before the first."""
+        return self.marks().agg(F.max_by(F.struct("version", "stream", "batch", "next_seq", "tables"), "version")).first()[0]
 
     def version(self) -> int:
         """Last committed version; -1 before the first."""
-        try:
-            marks = self.spark.read.schema("version long").json(f"{self.root}/versions/*")
-        except AnalysisException:
-            return -1
-        return marks.agg(F.max("version")).first()[0]
+        last = self.mark()
+        return -1 if last is None else last["version"]
+
+    def next_seq(self) -> int:
+        """The first number no record of the store has had."""
+        last = self.mark()
+        return 0 if last is None else last["next_seq"] or 0
+
+    def holds(self, stream: str, batch: int) -> bool:
+        """Whether a batch of a stream is in the store already."""
+        return not self.marks().where((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
 
     def write(self, name: str, df: DataFrame, version: int) -> None:
         columns = [f.name for f in SCHEMAS[name].fields]
+        self.written.add(name)
         df.select(columns).write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
 
-    def commit(self, version: int) -> None:
-        self.spark.range(version, version + 1).select(F.col("id").alias("version")).write.mode(
+    def commit(self, version: int, stream: str | None = None, batch: int | None = None, next_seq: int | None = None) -> None:
+        last = self.mark()
+        next_seq = self.next_seq() if next_seq is None else next_seq
+        tables = sorted(self.written | set(last["tables"] if last else ()))
+        self.spark.createDataFrame([(version, stream, batch, next_seq, tables)], MARK).coalesce(1).write.mode(
             "overwrite").json(f"{self.root}/versions/v{version}")
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
+        last = self.mark()
+        version = (-1 if last is None else last["version"]) if version is None else version
         schema = SCHEMAS[name]
         stored = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
-        if version >= 0:
-            try:
-                every = self.spark.read.schema(stored).parquet(f"{self.root}/{name}")
-            except AnalysisException:
-                version = -1
-        if version < 0:
+        path = f"{self.root}/{name}"
+        if version < 0 or last is None or name not in last["tables"]:
             return self.spark.createDataFrame([], schema)
+        every = self.spark.read.schema(stored).parquet(path)
+        if name in SNAPSHOT_TABLES and not path_exists(self.spark, f"{path}/version={version}"):
+            raise FileNotFoundError(f"version {version} of {name} is missing in {self.root}")
         wanted = F.col("version") == version if name in SNAPSHOT_TABLES else F.col("version") <= version
         return every.where(wanted).drop("version")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,17 +23,22 @@ def upsert_stream(
     store: TableStore,
     checkpoint: str,
     as_of: Callable[[int], str],
-    first_version: int = 0,
+    stream: str | None = None,
     **options,
 ) -> StreamingQuery:
-    """Start folding batches in; each becomes one version of the store.
+    """Start folding batches in; each becomes the next version of the store.
 
-    A batch that was committed before a failure is not applied twice.
+    The mark of a version names the stream and the batch, so a batch that was
+    committed before a failure is not applied twice, and any other change of
+    the store in between costs no batch. ``stream`` defaults to a name made of
+    the checkpoint, which is what makes batch numbers unique.
     """
+    name = stream or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def fold(batch: DataFrame, batch_id: int) -> None:
-        version = first_version + batch_id
-        if version > store.version():
-            run_batch(TableStore(batch.sparkSession, store.root), batch, as_of(batch_id), version, **options)
+        own = TableStore(batch.sparkSession, store.root)
+        if not own.holds(name, batch_id):
+            run_batch(own, batch, as_of(batch_id), stream=name, batch=batch_id, **options)
 
     return (
         records.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)

@@ -238,16 +238,20 @@ def test_events_of_a_future_date(spark):
     assert sorted(r.event_type for r in found.collect()) == ["new_30d", "new_7d", "new_today"]
 
 
-def test_cells_are_split_not_cut(spark):
-    contacts = spark.range(50).select(
-        F.col("id").cast("string").alias("contact_id"), F.when(F.col("id") < 45, 1).otherwise(2).alias("business_id"),
+@pytest.mark.parametrize("size", [45, 3000])
+def test_one_row_per_business_at_any_size(spark, size):
+    contacts = spark.range(size + 5).select(
+        F.col("id").cast("string").alias("contact_id"), F.when(F.col("id") < size, 1).otherwise(2).alias("business_id"),
         F.concat(F.lit("P"), "id").alias("full_name"), F.lit("t").alias("title_raw"), F.lit("owner").alias("role_category"),
         F.concat(F.lit("e"), "id").alias("email"), F.lit(None).cast("string").alias("phone"),
         F.lit("0.50").cast("decimal(4,2)").alias("confidence"), F.lit(True).alias("is_active"))
-    got = ct.flatten_contacts(contacts, cell_limit=10).collect()
-    mails = [m for r in got if r.business_id == 1 for m in r.contact_emails.split("; ")]
-    assert sorted(mails) == sorted(f"e{i}" for i in range(45)) and sum(r.business_id == 1 for r in got) > 1
-    assert [r.part for r in got if r.business_id == 2] == [0]
+    got = {r.business_id: r for r in ct.flatten_contacts(contacts).collect()}
+    assert len(got) == 2
+    # Equal confidence: in order of the id, here a text.
+    assert got[1].contact_emails.split("; ") == [f"e{i}" for i in sorted(map(str, range(size)))]
+    assert got[1].contact_phones == "" and len(got[2].decision_makers.split("; ")) == 5
+    lines = ct.contact_lines(contacts).where("business_id = 1").orderBy("place").collect()
+    assert [r.email for r in lines] == got[1].contact_emails.split("; ")
 
 
 def plan_of(df):
