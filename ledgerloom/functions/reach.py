@@ -37,6 +37,10 @@ TWO_LABEL_SUFFIXES = [
     "com.sg", "com.tr", "com.tw", "com.ar", "com.co", "com.pe", "com.ph",
     "com.my", "com.ua", "com.vn", "co.il", "co.id", "co.th",
 ]
+# Labels under which country registries sell names. Below any
+# two-letter top-level name they count as a suffix, listed above or not: a
+# suffix taken for a domain would make one company of a whole country.
+REGISTRY_LABELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "govt", "mil", "ne", "net", "nom", "or", "org"]
 # Top-level names that are a suffix even when they stand alone.
 SINGLE_LABEL_SUFFIXES = ["ca", "com", "org", "net", "info", "biz", "io", "co", "us", "uk", "fr", "de", "eu"]
 
@@ -94,13 +98,14 @@ def url_host(website: Column) -> Column:
 def domain_of_host(host: Column, suffixes: Sequence[str] = tuple(TWO_LABEL_SUFFIXES)) -> Column:
     """Registrable domain: the label before the longest public suffix, and it.
 
-    Any alphabetic top-level name counts as a suffix. A host that is itself a
-    suffix has no domain.
+    Any alphabetic top-level name counts as a suffix, and so do registry labels
+    below a country. A host that is itself a suffix has no domain.
     """
     tail = F.substring_index(host, ".", -2)
+    registry = tail.rlike(rf"^(?:{'|'.join(REGISTRY_LABELS)})\.[a-z]{{2}}$")
     return (
         F.when(~F.contains(host, F.lit(".")), F.when(~host.isin(SINGLE_LABEL_SUFFIXES), host))
-        .when(tail.isin(list(suffixes)), F.when(host != tail, F.substring_index(host, ".", -3)))
+        .when(tail.isin(list(suffixes)) | registry, F.when(host != tail, F.substring_index(host, ".", -3)))
         .when(host.rlike(r"\.(?:[a-z]{2,}|xn--[a-z0-9\-]+)$"), tail)
         .when(host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), host)
         .otherwise(F.substring_index(host, ".", -1))

@@ -72,8 +72,9 @@ def host(x: str) -> str:
 
 def domain_of(h: str) -> str:
     parts = f"string_split({h}, '.')"
-    return (f"case when {h} is null or {h} in ('on.ca', 'co.uk') then null "
-            f"when {h} like '%.on.ca' or {h} like '%.co.uk' then array_to_string({parts}[-3:], '.') "
+    suffix = "(on\\.ca|(ac|co|com|edu|go|gob|gov|govt|mil|ne|net|nom|or|org)\\.[a-z][a-z])"
+    return (f"case when {h} is null or regexp_full_match({h}, '{suffix}') then null "
+            f"when regexp_full_match({h}, '.*\\.{suffix}') then array_to_string({parts}[-3:], '.') "
             f"when len({parts}) = 1 then case when {h} not in ('ca', 'com') then {h} end "
             f"else array_to_string({parts}[-2:], '.') end")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.operators import contacts as ct
@@ -33,14 +34,21 @@ ARRIVAL = ["_source", "_file", "_block", "_row"]
 def with_place(records: DataFrame, source: int) -> DataFrame:
     """Marks each record with its source, file, block of the file and row.
 
-    To be applied to a scan, before any shuffle. Records that come from no file
-    count as one block each partition.
+    To be applied to a scan, before any shuffle. Records of no file, or of
+    several scans at once, are in the order of their partitions.
     """
-    row = F.monotonically_increasing_id()
-    return records.select(
-        "*", F.lit(source).alias("_source"), F.input_file_name().alias("_file"),
-        F.when(F.input_file_name() != "", F.input_file_block_start()).otherwise(F.spark_partition_id().cast("long")).alias("_block"),
-        row.alias("_row"))
+    def placed(file: Column, block: Column) -> DataFrame:
+        partition = F.spark_partition_id().cast("long")
+        return records.select(
+            "*", F.lit(source).alias("_source"), file.alias("_file"),
+            F.when(file != "", block).otherwise(partition).alias("_block"), F.monotonically_increasing_id().alias("_row"))
+
+    try:
+        return placed(F.input_file_name(), F.input_file_block_start())
+    except AnalysisException as error:
+        if error.getCondition() != "MULTI_SOURCES_UNSUPPORTED_FOR_EXPRESSION":
+            raise
+        return placed(F.lit(""), F.lit(0).cast("long"))
 
 
 def with_arrival_order(records: DataFrame, first: int = 0) -> DataFrame:

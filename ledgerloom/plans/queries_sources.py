@@ -6,7 +6,7 @@ folder in the source's format, scanned, and compared with the table.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ledgerloom.functions import labels
 from ledgerloom.operators import contacts as ct
@@ -259,9 +259,7 @@ def table_store(spark, sf_dir):
     return store.read("contacts").select("contact_id", "business_id", "role_category", "confidence", "is_active")
 
 
-@book.add("s14_source_union", "select source_name, count(*) as n, count(distinct legal_name) as names from raw_business group by 1")
-@book.add("u01_union_all", "select source_name, count(*) as n, count(distinct legal_name) as names from raw_business group by 1")
-def source_union(spark, sf_dir):
+def _collected(spark, sf_dir):
     """Three sources and one that cannot be read."""
     raw = inputs.raw_business(spark, sf_dir).drop("seq")
 
@@ -270,8 +268,32 @@ def source_union(spark, sf_dir):
 
     kinds = ["federal_registry", "municipal_open_data", "business_directory"]
     sources = {kind: only(kind) for kind in kinds} | {"gone": lambda s: s.read.csv(scratch_path(s, "nowhere"))}
-    whole, _ = collect(spark, sources)
-    return whole.groupBy("source_name").agg(
+    return collect(spark, sources)
+
+
+@book.add("s14_source_union", """
+select source_kind as source, count(*) as n, false as failed from raw_business group by 1
+union all select 'gone', 0, true""")
+def source_union(spark, sf_dir):
+    """What each source brought, the one that failed included."""
+    whole, status = _collected(spark, sf_dir)
+    held = whole.groupBy(F.col("source_kind").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return status.join(held, status["source_name"] == held["source"], "left").select(
+        F.col("source_name").alias("source"), F.coalesce("n", F.lit(0)).alias("n"), (F.col("status") == "failed").alias("failed"))
+
+
+@book.add("u01_union_all", """
+select source_name, count(*) as n, count(distinct legal_name) as names,
+  case source_kind when 'federal_registry' then 0 when 'municipal_open_data' then 1 else 2 end as place
+from raw_business group by 1, 4""")
+def union_all(spark, sf_dir):
+    """All records of all sources; sources follow each other in their order, without gaps."""
+    whole, _ = _collected(spark, sf_dir)
+    kinds = whole.groupBy("source_kind").agg(F.min("seq").alias("low"), F.count(F.lit(1)).alias("held"))
+    # Three rows: a source's place is told by how many records came before it.
+    places = kinds.select("source_kind", F.when(
+        F.col("low") == F.sum("held").over(Window.orderBy("low")) - F.col("held"), F.row_number().over(Window.orderBy("low")) - 1).alias("place"))
+    return whole.join(places, "source_kind").groupBy("source_name", "place").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("legal_name").alias("names"))
 
 

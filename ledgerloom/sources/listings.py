@@ -32,8 +32,25 @@ def _class_part(tags: str, part: str) -> str:
 
 
 def _inner(html: Column, opening: str) -> Column:
-    """Markup between the first such tag and its closing tag; NULL if absent."""
-    return F.when(html.rlike(opening), F.regexp_extract(html, rf"{opening}(.*?)</\1\s*>", 2))
+    """Markup between the first such tag and its own closing tag; NULL if absent.
+
+    Tags of the same name in between are counted, so an element that holds
+    others like it is not cut at the first of their closing tags. An element
+    that is never closed is empty.
+    """
+    tag = F.lower(F.regexp_extract(html, opening, 1))
+    rest = F.regexp_extract(html, rf"{opening}(.*)", 2)
+    pieces = F.regexp_extract_all(rest, F.lit(r"(?s)(<[^>]*>|[^<]+|<)"), F.lit(1))
+
+    def step(state: Column, piece: Column) -> Column:
+        same = F.lower(F.regexp_extract(piece, r"^</?([a-zA-Z0-9]+)", 1)) == tag
+        depth = F.when(state["depth"] == 0, 0).when(same & piece.startswith("</"), state["depth"] - 1).when(
+            same & piece.startswith("<") & ~piece.endswith("/>"), state["depth"] + 1).otherwise(state["depth"])
+        return F.struct(depth.alias("depth"), (state["held"] + F.when(depth > 0, 1).otherwise(0)).alias("held"))
+
+    walked = F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("held")), step)
+    inside = F.when(walked["depth"] == 0, F.array_join(F.slice(pieces, F.lit(1), walked["held"]), "")).otherwise("")
+    return F.when(html.rlike(opening), inside)
 
 
 def _attribute(html: Column, opening: str, name: str) -> Column:
