@@ -20,6 +20,7 @@ from ledgerloom.llm.scratch import Scratch
 
 GRAM = 8
 DEPTH = 2
+CUT_SLICE = 2 << 20
 BYTES_PER_WORD = 6.5
 NO_ID = -(1 << 63)
 _HIT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("run", pa.int32())])
@@ -85,7 +86,7 @@ def _find(width: int, bits: int, maps):
         known = maps.value
         for batch in words.slices(batches):
             part = _Slice(batch, width)
-            keep = sketch.repeated(known, part.anchor, bits)
+            keep = sketch.reaches(known, part.anchor, bits)
             at = part.at[keep]
             if not len(at):
                 continue
@@ -113,10 +114,10 @@ def _find(width: int, bits: int, maps):
     return run
 
 
-def _cut(width: int):
+def _cut(width: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, covers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for batch in words.slices(batches, size=CUT_SLICE):
+            texts, covers = batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(0).to_pylist()
             kept, n_words, n_removed = [], [], []
             for text, cover in zip(texts, covers):
                 parts = text.encode().split() if text else []
@@ -132,8 +133,8 @@ def _cut(width: int):
                 n_removed.append(n_words[-1] - len(parts))
                 kept.append(b" ".join(parts))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()),
-                 pa.array(n_removed, pa.int64())], names=[*batch.schema.names[2:], "kept", "n_words", "n_removed"])
+                [*batch.columns[1:1 + len(names)], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()),
+                 pa.array(n_removed, pa.int64())], names=[*names, "kept", "n_words", "n_removed"])
     return run
 
 
@@ -164,6 +165,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, most_bits: int = 26, carry:
     later = hits.withColumn("_first", first).where((F.col("run") > 0) | (place > F.col("_first")))
     covers = later.groupBy(F.col("doc_id").alias("_cover")).agg(F.collect_list(F.struct("start", "run")).alias("_covers"))
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    joined = docs.join(covers, key == F.col("_cover"), "left").select(F.col("text").alias("_text"), "_covers", "doc_id", *carry)
-    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select("doc_id", *carry).dtypes)
-    return joined.mapInArrow(_cut(width), f"{kinds}, kept string, n_words long, n_removed long")
+    names = ["doc_id", *carry]
+    joined = docs.join(covers, key == F.col("_cover"), "left").select("_covers", *names, *([] if "text" in carry else ["text"]))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
+    return joined.mapInArrow(_cut(width, names), f"{kinds}, kept string, n_words long, n_removed long")
