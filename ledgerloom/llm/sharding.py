@@ -72,8 +72,8 @@ def shard(docs: DataFrame, shards: int, ranges: int = RANGES, sample: int = SAMP
     draw = F.pmod(F.xxhash64("row", F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = (F.floor(want) + (draw < want - F.floor(want)).cast("long")).cast("int")
     drawn = kept.select("key", times.alias("times")).where("times > 0").groupBy("key").agg(F.sum("times").alias("times"))
-    found = drawn.toPandas()
-    keys = np.repeat(found["key"].to_numpy(np.int64), found["times"].to_numpy(np.int64))
+    found = drawn.toArrow()
+    keys = np.repeat(found["key"].to_numpy().astype(np.int64), found["times"].to_numpy().astype(np.int64))
     bounds = spark.sparkContext.broadcast(splitters(keys, count))
     ranged = kept.mapInArrow(_ranges(bounds), "key long, doc_id long, size long, text_crc32 long, row long, range long")
     ranged = scratch.keep(ranged, "ranged")
