@@ -3,7 +3,8 @@
 Features of a text are runs of one and two words, and runs of one to three word shapes (a shape writes upper case,
 lower case and digits as A, a and 9, and repeats once), hashed into 2^BITS buckets. Each kind of run is scaled by the
 square root of the number of words, so a score is a few sparse dot products. Training takes a bounded sample of labelled
-rows, dealt over SHARDS tasks; each runs FTRL-proximal over its rows, and the states are averaged after every round.
+rows, dealt over SHARDS tasks; each runs FTRL-proximal over its rows, and what it changed in a bucket is averaged with the
+others that changed it after every round.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ledgerloom.llm.scratch import Scratch
 
 BITS = 18
 SHARDS = 8
+SLICE = 1 << 20
 ROUNDS = 2
 MOST_ROWS = 16_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
@@ -81,15 +83,17 @@ def scores(column: pa.Array, w: np.ndarray) -> np.ndarray:
 
 def _train(state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = (x.astype(np.float64) for x in state.value)
+        z, n = (x.copy() for x in state.value)
         seen = 0
         for batch in batches:
-            for part in words.slices(iter([batch]), size=1 << 20):
+            for part in words.slices(iter([batch]), size=SLICE):
                 learn(part.column(1), part.column(2).to_numpy(zero_copy_only=False), z, n)
                 seen += part.num_rows
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([z.astype("<f4").tobytes()]), pa.array([n.astype("<f4").tobytes()])],
-                                             names=["seen", "z", "n"])
+        moved = np.flatnonzero((n != state.value[1]) | (z != state.value[0]))
+        size = len(moved)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(moved, pa.int64()), pa.array((z - state.value[0])[moved] * seen), pa.array((n - state.value[1])[moved] * seen),
+             pa.array(np.full(size, seen, np.int64))], names=["bucket", "z", "n", "seen"])
     return run
 
 
@@ -109,15 +113,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, rounds:
                           .select("doc_id", "text", "label").repartition(SHARDS, F.xxhash64("doc_id", F.lit(29))).sortWithinPartitions(F.xxhash64("doc_id")), "sample")
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(rounds):
-        state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
+        state = spark.sparkContext.broadcast((z, n))
         dealt = sample.repartition(SHARDS, F.xxhash64("doc_id", F.lit(29))).sortWithinPartitions(F.xxhash64("doc_id"))
-        # SHARDS rows of a fixed size come back.
-        parts = dealt.mapInArrow(_train(state), "seen long, z binary, n binary").collect()
+        moved = (dealt.mapInArrow(_train(state), "bucket long, z double, n double, seen long").groupBy("bucket")
+                 .agg((F.sum("z") / F.sum("seen")).alias("z"), (F.sum("n") / F.sum("seen")).alias("n")))
+        # A row a bucket, so at most 2^BITS + 1, however many tasks there are.
+        parts = moved.toArrow()
         state.unpersist()
-        if not parts:
-            break
-        seen = np.array([p.seen for p in parts], float)
-        z, n = (np.average([np.frombuffer(p[k], "<f4") for p in parts], axis=0, weights=seen) for k in ("z", "n"))
+        at = parts["bucket"].to_numpy()
+        z[at] += parts["z"].to_numpy()
+        n[at] += parts["n"].to_numpy()
     return weights(z, n)
 
 
@@ -128,10 +133,13 @@ def score(docs: DataFrame, w: np.ndarray, carry: list[str] | None = None) -> Dat
     """
     known = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))
     names = ["doc_id", *(carry or [])]
+    read = names if "text" in names else [*names, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.slices(batches, text="_text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores(batch.column(0), known.value))], names=[*names, "score"])
+        # A word has five features of four numbers, so slices are small.
+        for batch in words.slices(batches, size=SLICE):
+            found = pa.array(scores(batch.column(read.index("text")), known.value))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], found], names=[*names, "score"])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
-    return docs.select(F.col("text").alias("_text"), *names).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*read).mapInArrow(run, f"{kinds}, score double")
