@@ -201,3 +201,20 @@ def test_components(spark):
     want = brute.roots({x for e in links for x in e if e[0] != e[1]}, [e for e in links if e[0] != e[1]])
     assert got == want
     assert components.components(frame.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_near_vectors_widens_beams_for_sparse_pairs(spark, monkeypatch):
+    """Narrow beams, few links: the links of a vector with itself say nothing about the others."""
+    monkeypatch.setattr(embeddings, "BEAMS", (2, 3))
+    rng = np.random.default_rng(6)
+    raw = rng.normal(size=(3000, 48))
+    near, aside = raw[:150], rng.normal(size=(150, 48))
+    aside -= (aside * near).sum(1, keepdims=True) / (near * near).sum(1, keepdims=True) * near
+    aside *= np.linalg.norm(near, axis=1, keepdims=True) / np.linalg.norm(aside, axis=1, keepdims=True)
+    raw[150:300] = 0.955 * near + np.sqrt(1 - 0.955 ** 2) * aside
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(raw)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(frame, shards=4).collect()}
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert want.sum() == 300 and all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= embeddings.RECALL * want.sum()
