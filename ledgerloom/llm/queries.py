@@ -54,7 +54,9 @@ select w.doc_id, len(w.w)::bigint as n_words, (len(w.w) - coalesce(kept.n, 0))::
 from w left join kept on w.doc_id = kept.doc_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that repeat an earlier window of twenty are removed."""
-    out = substrings.remove_repeats(table(spark, sf_dir, "documents"), WINDOW)
+    # The place of a row in its file is the same in every reading, however files are split.
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text", place), WINDOW, key="row")
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -23,8 +23,8 @@ DEPTH = 2
 CUT_SLICE = 2 << 20
 BYTES_PER_WORD = 6.5
 NO_ID = -(1 << 63)
-_HIT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("run", pa.int32())])
-_HIT_SQL = "h1 long, h2 long, doc_id long, start int, run int"
+_HIT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("run", pa.int32())])
+_HIT_SQL = "h1 long, h2 long, doc_id long, row long, start int, run int"
 
 
 def anchors(gram: np.ndarray, span: int) -> np.ndarray:
@@ -42,14 +42,15 @@ def anchors(gram: np.ndarray, span: int) -> np.ndarray:
 
 
 class _Slice:
-    """Windows of one slice, by (doc_id, place)."""
+    """Windows of one slice, by (doc_id, row, place)."""
 
     def __init__(self, batch: pa.RecordBatch, width: int) -> None:
         ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
+        keys = batch.column(2).to_numpy(zero_copy_only=False)
+        order = np.lexsort((keys, ids))
         if (order[1:] < order[:-1]).any():
-            batch, ids = batch.take(pa.array(order)), ids[order]
-        self.ids, self.width = ids, width
+            batch, ids, keys = batch.take(pa.array(order)), ids[order], keys[order]
+        self.ids, self.keys, self.width = ids, keys, width
         self.data, offsets = words.buffer_of(batch.column(1))
         self.words = words.split(self.data, offsets)
         self.hash = words.hashes(self.data, self.words, lower=False)
@@ -73,12 +74,12 @@ def _count(width: int, bits: int):
     return run
 
 
-def _intervals(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive places of sorted (doc, start)."""
-    if not len(doc):
-        return doc, start, start
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]))
-    return doc[cut], start[cut], np.diff(np.append(cut, len(doc)))
+def _intervals(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive places of sorted (row, start)."""
+    if not len(row):
+        return row, start, start
+    cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]))
+    return row[cut], start[cut], np.diff(np.append(cut, len(row)))
 
 
 def _find(width: int, bits: int, maps):
@@ -93,22 +94,24 @@ def _find(width: int, bits: int, maps):
             h1 = words.runs(part.hash, width)[at]
             h2 = words.runs(words.hashes(part.data, part.words, False, 1), width, 1)[at]
             row = part.words.row[at]
-            doc, start = part.ids[row], at - part.words.first[row]
+            doc, key, start = part.ids[row], part.keys[row], at - part.words.first[row]
             order = np.argsort(h1, kind="stable")
             a, b = order[1:], order[:-1]
             same = (h1[a] == h1[b]) & (h2[a] == h2[b])
-            # Rows that share a doc_id may hold equal windows at equal places; neither is the earlier one.
+            # Rows that share doc_id and key are one document, with equal windows at equal places.
             later = np.zeros(len(at), bool)
             lead = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(at)), 0))
             lead = order[lead]
-            later[order] = (doc[order] > doc[lead]) | (start[order] > start[lead])
+            later[order] = (doc[order] != doc[lead]) | (key[order] != key[lead]) | (start[order] != start[lead])
             one = ~later
-            d, s, n = _intervals(doc[later], start[later])
-            pseudo = words.mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64)).view(np.int64)
+            r, s, n = _intervals(row[later], start[later])
+            d, k = part.ids[r], part.keys[r]
+            pseudo = words.mix(words.mix(d.astype(np.uint64)) ^ k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64)).view(np.int64)
             yield pa.record_batch([
                 pa.array(np.concatenate([h1[one].view(np.int64), pseudo])),
                 pa.array(np.concatenate([h2[one].view(np.int64), pseudo])),
                 pa.array(np.concatenate([doc[one], d])),
+                pa.array(np.concatenate([key[one], k])),
                 pa.array(np.concatenate([start[one], s]).astype(np.int32)),
                 pa.array(np.concatenate([np.zeros(one.sum(), np.int32), n]).astype(np.int32))], schema=_HIT)
     return run
@@ -125,8 +128,6 @@ def _cut(width: int, names: list[str]):
                 if cover:
                     step = np.zeros(len(parts) + 1, np.int64)
                     pairs = np.array([(c["start"], max(1, c["run"])) for c in cover], np.int64)
-                    # Rows that share a doc_id share their removals, so a place may lie behind this row's end.
-                    pairs = pairs[pairs[:, 0] < len(parts)]
                     np.add.at(step, pairs[:, 0], 1)
                     np.add.at(step, np.minimum(pairs.sum(1) + width - 1, len(parts)), -1)
                     parts = [parts[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
@@ -138,34 +139,36 @@ def _cut(width: int, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, most_bits: int = 26, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, most_bits: int = 26, carry: list[str] | None = None,
+                   key: str | None = None) -> DataFrame:
     """Drop each word that lies in a window of `width` words which also starts earlier.
 
-    `docs` has doc_id and text. Earlier means a smaller doc_id, or the same document and an earlier start; windows are
-    judged on the input. Words are runs of anything but space and tab to carriage return, unchanged. Returns doc_id, the
+    `docs` has doc_id and text; `key` names a column of longs, one of its own for each row and the same in every reading.
+    Earlier means a smaller (doc_id, key, start); windows are judged on the input. Words are runs of anything but space and tab to carriage return, unchanged. Returns doc_id, the
     columns named in `carry`, kept (words joined by one space), n_words and n_removed.
 
-    Null and empty texts have no words and kept is empty. A null doc_id counts as the smallest. Rows that share a doc_id
-    are read as one document: windows at the same place are not earlier than each other, and a place removed in one row
-    is removed in all. Texts shorter than `width` words stay whole. Empty tables give no rows. Other columns are
+    Null and empty texts have no words and kept is empty. A null doc_id counts as the smallest. Rows that share or
+    lack a doc_id are documents of their own. Without `key` a hash of the text stands for it: rows that share doc_id and
+    text are then one document, whose windows at the same place are not earlier than each other. Texts shorter than `width` words stay whole. Empty tables give no rows. Other columns are
     dropped unless carried. `most_bits` bounds the sketch (2 x 2^most_bits bits are broadcast); a fuller sketch only
     sends more windows to the exact grouping.
     """
     spark, carry = docs.sparkSession, list(carry or [])
     scratch = Scratch(spark, "substrings")
-    source = docs.select("doc_id", "text")
+    row = F.xxhash64("text") if key is None else F.col(key).cast("long")
+    source = docs.select("doc_id", "text", row.alias("row"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.bits_for(size / BYTES_PER_WORD / 7, most_bits)
     counted = scratch.keep(source.mapInArrow(_count(width, bits), sketch.SCHEMA), "sketch")
     maps = spark.sparkContext.broadcast(sketch.merge(counted, bits, DEPTH))
     scratch.drop(counted)
     hits = source.mapInArrow(_find(width, bits, maps), _HIT_SQL)
-    place = F.struct("doc_id", "start")
+    place = F.struct("doc_id", "row", "start")
     first = F.min(place).over(Window.partitionBy("h1", "h2"))
     later = hits.withColumn("_first", first).where((F.col("run") > 0) | (place > F.col("_first")))
-    covers = later.groupBy(F.col("doc_id").alias("_cover")).agg(F.collect_list(F.struct("start", "run")).alias("_covers"))
-    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    covers = later.groupBy(F.col("doc_id").alias("_cover"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "run")).alias("_covers"))
+    own = (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("_cover")) & (row == F.col("_row"))
     names = ["doc_id", *carry]
-    joined = docs.join(covers, key == F.col("_cover"), "left").select("_covers", *names, *([] if "text" in carry else ["text"]))
+    joined = docs.join(covers, own, "left").select("_covers", *names, *([] if "text" in carry else ["text"]))
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
     return joined.mapInArrow(_cut(width, names), f"{kinds}, kept string, n_words long, n_removed long")

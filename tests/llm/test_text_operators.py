@@ -65,6 +65,22 @@ def test_repeats_odd_rows(frame):
     assert substrings.remove_repeats(frame([])).count() == 0
 
 
+def test_repeats_of_rows_that_share_or_lack_an_id(spark, frame):
+    """Each row loses its own words only: also without a key, and repeated rows are removed with one."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([*(f"r{k}x{i}" for i in range(int(rng.integers(0, 60)))), *(passage if k % 3 else []), *(f"t{k}x{i}" for i in range(25))]) for k in range(30)]
+    ids = [(None, 5, 5, k)[k % 4] for k in range(30)]
+    least = -10 ** 6  # stands for null, which counts as the smallest
+    rows = [(d, t, k) for k, (d, t) in enumerate([*zip(ids, texts), (None, texts[0]), (5, texts[1])])]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    got = {r.key: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(keyed, 20, carry=["key"], key="key").collect()}
+    want = brute.without_repeats([((least if d is None else d, k), t) for d, t, k in rows], 20)
+    assert got == {k: v for (_, k), v in want.items()} and got[30][1] == got[30][0] and got[31][2] == ""
+    plain = substrings.remove_repeats(frame([(d, t) for d, t, k in rows[:30]]), 20).collect()
+    assert len(plain) == 30 and sum(r.n_removed for r in plain) == 30 * (sum(k % 3 > 0 for k in range(30)) - 1)
+
+
 def test_contained_items_equal_brute_force(spark, frame, corpus):
     texts = [t for _, t in corpus if t and len(t.split()) > 3]
     cut = [" ".join(t.split()[:30]) for t in texts[:25]] + [" ".join(t.split()[2:40]) + " zzz yyy" for t in texts[25:50]]
