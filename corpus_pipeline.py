@@ -1,7 +1,9 @@
 """Corpus pipeline: quality filter, near-duplicate join, passage removal, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) with docs in the columns of `documents`, and its result is written and read
-again before the next. The last stage returns the pieces of packed sequences.
+again before the next. The first adds a key of its own for each row, KEY, which the others carry (a stage that gets no
+key writes its input with one first), so rows that share or lack a doc_id are documents of their own everywhere. Null
+ids count as the smallest. The last stage returns the pieces of packed sequences.
 """
 
 from __future__ import annotations
@@ -18,21 +20,37 @@ from ledgerloom.llm.scratch import Scratch  # noqa: E402
 from ledgerloom.session import tune  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+KEY = "row_key"
 KEEP_FROM = 0.3
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 WINDOW = 20
 ITEM_WORDS, ITEM_PERCENT = 5, 80
 TOKENIZER, END_ID, LENGTH = "byte_bpe_50k.json", 0, 1024
 
-#: The stages are iterative and learned; no SQL says what they do. tests/llm compares each with a plain version.
+#: The stages are iterative and learned; no SQL says what they do. tests/llm/test_corpus_pipeline.py compares
+#: the stages after the classifier and run() with plain versions.
 ORACLE_SQL = None
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents with KEY; it's written before anything reads it twice."""
+    if KEY in docs.columns:
+        return docs.select(*COLUMNS, KEY)
+    return Scratch(spark, "pipeline").keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(KEY)), "keyed")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Texts by key, for operators that know a document by its doc_id."""
+    return docs.select(F.col(KEY).alias("doc_id"), "text")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality scores below KEEP_FROM go. Labels of one fold in five are left for measuring."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     weights = quality.fit(tune(spark) and docs, labels)
-    return quality.score(docs, weights, carry=["text", "lang", "source", "n_chars"]).where(F.col("score") >= KEEP_FROM).select(*COLUMNS)
+    held = [KEY] if KEY in docs.columns else []
+    good = quality.score(docs, weights, carry=["text", "lang", "source", "n_chars", *held]).where(F.col("score") >= KEEP_FROM)
+    return good.select(*COLUMNS, F.col(KEY) if held else F.monotonically_increasing_id().alias(KEY))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,24 +58,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are in no group and stay; so do rows without an id. Of rows that share an id, all stay or go.
     """
-    found = jaccard.join_similar(tune(spark) and docs, NEAR_WORDS, NEAR_PERCENT)
+    docs = _keyed(tune(spark), docs)
+    found = jaccard.join_similar(docs, NEAR_WORDS, NEAR_PERCENT)
     gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS, KEY)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows of twenty that also start earlier go; texts that lose nothing keep their white space."""
-    cut = substrings.remove_repeats(tune(spark) and docs, WINDOW, carry=["text", "lang", "source", "n_chars"])
+    cut = substrings.remove_repeats(_keyed(tune(spark), docs), WINDOW, carry=["text", "lang", "source", "n_chars", KEY], key=KEY)
     changed = F.col("n_removed") > 0
     return cut.select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
-                      F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+                      F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), KEY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold at least 80 % of the five-word shingles of a test item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = containment.contained_items(tune(spark) and docs, items, ITEM_WORDS, ITEM_PERCENT).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _keyed(tune(spark), docs)
+    gone = containment.contained_items(_named(docs), items, ITEM_WORDS, ITEM_PERCENT).select(F.col("doc_id").alias(KEY)).distinct()
+    return docs.join(gone, KEY, "left_anti").select(*COLUMNS, KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
