@@ -54,14 +54,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that are alike in 80 % of their five-word shingles, the one of smallest id stays.
+    """Of each group of documents that are alike in 80 % of their five-word shingles, the one of smallest (id, key) stays.
 
-    Texts without words are in no group and stay; so do rows without an id. Of rows that share an id, all stay or go.
+    Texts without words are in no group and stay.
     """
     docs = _keyed(tune(spark), docs)
-    found = jaccard.join_similar(docs, NEAR_WORDS, NEAR_PERCENT)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS, KEY)
+    found = jaccard.join_similar(_named(docs), NEAR_WORDS, NEAR_PERCENT)
+    member = docs.select(KEY, "doc_id").join(found.select(F.col("doc_id").alias(KEY), "component_id"), KEY)
+    member = Scratch(spark, "pipeline").keep(member, "groups")
+    first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", KEY)).alias("first"), F.count("*").alias("held")).where("held > 1")
+    gone = member.join(first, "component_id").where(F.col(KEY) != F.col(f"first.{KEY}")).select(KEY)
+    return docs.join(gone, KEY, "left_anti").select(*COLUMNS, KEY)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

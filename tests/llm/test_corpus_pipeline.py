@@ -65,6 +65,11 @@ def got(df):
     return sorted(((r.doc_id, r.text, r.row_key) for r in df.collect()), key=lambda r: r[2])
 
 
+def test_one_document_of_each_group_stays(spark, rows, folder):
+    want = plain_near(rows[0])
+    assert got(cp.near_duplicates(spark, frame(spark, rows[0]), folder)) == want and len(want) == 12
+
+
 def test_passages_go_row_by_row(spark, rows, folder):
     found = cp.repeated_passages(spark, frame(spark, rows[0]), folder)
     assert got(found) == plain_passages(rows[0])
@@ -79,3 +84,12 @@ def test_leaked_items_go_row_by_row(spark, rows, folder):
 def test_stages_take_documents_without_a_key(spark, rows, folder):
     found = cp.decontaminate(spark, frame(spark, rows[0]).drop("row_key"), folder)
     assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter((d, t) for d, t, _ in plain_clean(*rows))
+
+
+def test_run_equals_the_plain_stages(spark, rows, folder, monkeypatch):
+    monkeypatch.setattr(cp, "KEEP_FROM", -1.0)
+    want = plain_clean(plain_passages(plain_near(rows[0])), rows[1])
+    encoder = tokens.encoder(tokens.tokenizer_path(cp.TOKENIZER)).tokenizer
+    pieces = cp.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == Counter(
+        (d, len(encoder.encode(t, add_special_tokens=False).ids) + 1) for d, t, _ in want)
