@@ -49,21 +49,22 @@ def _ranges(bounds):
     return run
 
 
-def shard(docs: DataFrame, shards: int, ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
+def shard(docs: DataFrame, shards: int, ranges: int = RANGES, sample: int = SAMPLE, key: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row; size is the text's UTF-8 bytes and 1.
 
     slot counts from 0 in each shard without gaps. `docs` has doc_id and text. A null text is as an empty one. Rows that
     share or lack a doc_id are rows of their own. Equal texts share a shard unless together they exceed one shard's
     share; then they are spread by doc_id. An empty table gives no rows; other columns are dropped. About
     `shards * ranges * sample` keys are sampled; there are about `shards * ranges` ranges, more only so that no range
-    has more than about ROWS_PER_RANGE rows, and they are what the driver deals out.
+    has more than about ROWS_PER_RANGE rows, and they are what the driver deals out. `key` names a column of longs, one of
+    its own for each row, which is then added to the result as `row`.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.xxhash64(text).alias("key"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
-                        F.crc32(text).alias("text_crc32"))
-    kept = scratch.keep(keyed.withColumn("row", F.monotonically_increasing_id()), "keys")
+                        F.crc32(text).alias("text_crc32"), (F.monotonically_increasing_id() if key is None else F.col(key)).alias("row"))
+    kept = scratch.keep(keyed, "keys")
     total, rows = kept.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
     count = max(shards * ranges, -(-rows // ROWS_PER_RANGE))
@@ -99,10 +100,11 @@ def shard(docs: DataFrame, shards: int, ranges: int = RANGES, sample: int = SAMP
     known = spark.createDataFrame(plan, "range long, part long, shard int, before long")
     place = F.row_number().over(Window.partitionBy("range", "part").orderBy("key", "doc_id", "row")) - 1
     return (placed.withColumn("place", place).join(known, ["range", "part"])
-            .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("place")).alias("slot")))
+            .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("place")).alias("slot"), *([] if key is None else ["row"])))
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int) -> None:
-    """Write the rows of `docs` below `folder`, a directory for each shard."""
-    placed = shard(docs, shards).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").write.partitionBy("shard").parquet(folder)
+    """Write every row of `docs` once below `folder`, a directory for each shard; rows may share or lack a doc_id."""
+    rows = Scratch(docs.sparkSession, "shards").keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    placed = shard(rows, shards, key="_row").select(F.col("row").alias("_row"), "shard", "slot")
+    rows.join(placed, "_row").drop("_row").write.partitionBy("shard").parquet(folder)

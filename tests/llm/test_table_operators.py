@@ -218,3 +218,13 @@ def test_near_vectors_widens_beams_for_sparse_pairs(spark, monkeypatch):
     want = (unit @ unit.T >= 0.95).sum(1) - 1
     assert want.sum() == 300 and all(got[k] <= want[k] for k in got)
     assert sum(got.values()) >= embeddings.RECALL * want.sum()
+
+
+def test_written_shards_hold_every_row_once(spark, frame):
+    rows = [(None, "no id"), (None, "none"), (5, "twice"), (5, "twice"), (5, "other"), *((10 + k, f"text {k}") for k in range(20)), (None, None)]
+    folder = scratch_path(spark, "shards")
+    sharding.write_shards(frame(rows), folder, 3)
+    got = spark.read.parquet(folder).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    for slots in brute.groups((r.shard, r.slot) for r in got).values():
+        assert sorted(slots) == list(range(len(slots)))
