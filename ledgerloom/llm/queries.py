@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import brown, containment, embeddings, jaccard, packing, quality, rans, separators, sharding, substrings
+from ledgerloom.llm import brown, containment, conversations, embeddings, jaccard, packing, quality, rans, separators, sharding, substrings
 from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,84 @@ from c join bn on bn.item_id = c.item_id where 100 * c.c >= {ITEM_PERCENT} * bn.
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a test item of which it holds at least 80 %."""
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ITEM_WORDS, ITEM_PERCENT)
+
+
+def _crc32_sql(s: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({s}, ''), lambda x: ord(x)::bigint)), {bits}), 4294967295)"
+
+
+def _more(way: str, cost: str, letter: str) -> str:
+    """A way so far (nine digits of cost, then letters) with one more edit; the least text is the best way."""
+    return f"lpad((left({way}, 9)::int + {cost})::varchar, 9, '0') || substr({way}, 10) || '{letter}'"
+
+
+def _repair_sql() -> str:
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    inserted = (f"select *, least(t2, {_more('s0', '5', 'I')}, {_more('s1', '5', 'I')}, {_more('s3', '5', 'I')}) as w2 "
+                "from (select *, s2 as t2 from {src})")
+    closed = f"select *, least(s3, {_more('w2', '5', 'I')}) as w3 from ({inserted})"
+
+    def on(test: str, way: str) -> str:
+        return f"case when {test} then {way} end"
+
+    def step(way: str) -> str:
+        return ", ".join([on("stays", _more(way, "1 + z", "R")), on("stays and kind = 'u'", _more(way, "z", "K"))])
+
+    return f"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as k from conversations),
+dam as (
+  select conv_id, turn, case when k = 4 then 'user' else role end as role,
+    case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when k = 3 then 2 else 1 end)) as copy from raw where k <> 0),
+num as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(length(role)::varchar || ':' || role || ':' || text), copy) as i,
+    rtrim(text, {blank}) as core from dam),
+judged as (
+  select *, left(role, 1) as kind, case when core = '' then 'blank'
+    when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+    when right(core, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from num),
+way as (
+  select conv_id, 0::bigint as i, '000000000' as s0, null::varchar as s1, null::varchar as s2, null::varchar as s3 from (select distinct conv_id from dam)
+  union all
+  select conv_id, i, {_more('s0', '2', 'D')}, least({_more('s1', '2', 'D')}, {on("stays and kind = 's'", _more('s0', 'z', 'K'))}),
+    least({_more('w2', '2', 'D')}, {step('s0')}, {step('s1')}, {step('w3')}),
+    least({_more('w3', '2', 'D')}, {on("stays", _more('w2', '1 + z', 'R'))}, {on("stays and kind = 'a'", _more('w2', 'z', 'K'))})
+  from ({closed.format(src="(select w.conv_id, j.i, s0, s1, s2, s3, kind, fault not in ('blank', 'duplicate') as stays, case fault when 'truncated' then 5 else 0 end as z from way w join judged j on j.conv_id is not distinct from w.conv_id and j.i = w.i + 1)")})),
+best as (
+  select conv_id, least(s0, w3) as best from ({closed.format(src="way")})
+  qualify row_number() over (partition by conv_id order by i desc) = 1),
+letters as (
+  select conv_id, p, substr(best, p::int, 1) as letter from best, unnest(range(10, length(best) + 1)) as t(p)),
+placed as (
+  select l.*, j.role, j.text, l.letter = 'K' and j.kind = 's' as lead
+  from (select *, sum((letter <> 'I')::int) over (partition by conv_id order by p) as i from letters) l
+  left join judged j on l.letter <> 'I' and j.conv_id is not distinct from l.conv_id and j.i = l.i),
+lines as (
+  select conv_id, string_agg(case when letter = 'K' then role when n % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by p) as whole
+  from (select *, sum((not lead)::int) over (partition by conv_id order by p) as n from placed where letter <> 'D') group by 1),
+stats as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (was || kind not in ('su', 'ua', 'au')) as illegal
+  from (select *, lag(kind) over (partition by conv_id order by i) as was from judged) group by 1)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(left(best, 9)::bigint, 0) as cost,
+  coalesce(substr(best, 10), '') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join best b on b.conv_id is not distinct from c.conv_id left join lines l on l.conv_id is not distinct from c.conv_id
+left join stats s on s.conv_id is not distinct from c.conv_id"""
+
+
+@add("op11_conversation_repair", _repair_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damage(rows)).withColumnRenamed("conv_id", "found")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
