@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import brown, containment, conversations, embeddings, jaccard, packing, quality, rans, separators, sharding, substrings
+from ledgerloom.llm import brown, containment, conversations, embeddings, jaccard, nearest, packing, quality, rans, separators, sharding, substrings
 from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,3 +233,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
                         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERY_STEP, NEIGHBOURS = 100, 10
+
+
+@add("op12_kmeans_tree_search")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found of every hundredth vector."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0, NEIGHBOURS)
