@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import brown, containment, conversations, embeddings, jaccard, nearest, packing, quality, rans, separators, sharding, substrings
+from ledgerloom.llm import brown, containment, conversations, embeddings, jaccard, nearest, packing, quality, ranking, rans, separators, sharding, substrings
 from ledgerloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,3 +242,27 @@ QUERY_STEP, NEIGHBOURS = 100, 10
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors found of every hundredth vector."""
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0, NEIGHBOURS)
+
+
+HITS = 20
+
+
+def _terms_sql(text: str) -> str:
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"unnest(regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+
+
+@add("op13_block_max_search", f"""
+with t as (select doc_id, term, count(*) as tf from (select doc_id, {_terms_sql('text')} as term from documents) as x group by 1, 2),
+d as (select doc_id, sum(tf)::bigint as n from t group by 1),
+c as (select count(*) as docs, sum(n)::bigint as total from d),
+m as (select doc_id, 75 + (25 * n * docs) // total as m from d, c),
+w as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from t, c group by 1),
+q as (select item_id, term, count(*) as r from (select item_id, {_terms_sql('text')} as term from benchmark) as x group by 1, 2),
+s as (select item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+      from q join w using (term) join t using (term) join m using (doc_id) group by 1, 2)
+select item_id, rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0) where rank <= {HITS}""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every test item."""
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), HITS)

@@ -102,12 +102,13 @@ class Words:
         return np.diff(self.first)
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> Words:
+    """Words between the bytes that `separator` marks."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(len(offsets), np.int64))
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins = inside.copy()
