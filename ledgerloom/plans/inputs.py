@@ -112,11 +112,14 @@ select page_id, 'https://www.firm' || cast(page_id % 40 as varchar(20)) || '.ca'
 from ({site_pages}) as s
 """
 
+# Whole names, in places of their kind.
 NAME_POOL = """
-select cast(doc_id as bigint) as seq, lang as province, lang as city,
-  regexp_extract(text, '^ *([^ ]+ +[^ ]+ +[^ ]+ +[^ ]+)', 1) as name
-from {documents}
-where length(regexp_extract(text, '^ *([^ ]+ +[^ ]+ +[^ ]+ +[^ ]+)', 1)) > 8
+select cast(c_custkey as bigint) as seq, n_name as province, c_mktsegment as city, c_name as name
+from {customer} join {nation} on c_nationkey = n_nationkey
+union all
+select 1000000000 + s_suppkey, n_name, 'supplier', s_name from {supplier} join {nation} on s_nationkey = n_nationkey
+union all
+select 2000000000 + p_partkey, p_brand, p_type, p_name from {part}
 """
 
 TEXTS = {

@@ -102,11 +102,6 @@ def components(spark, sf_dir):
     return resolve.resolve_components(records)
 
 
-def _name_pool(spark, sf_dir):
-    pool = inputs.derive(spark, sf_dir, inputs.NAME_POOL)
-    return pool.select("seq", "province", "city", F.lower(strip(F.col("name"))).alias("name_key"))
-
-
 _WORDS = (r"array_to_string(list_sort(string_split_regex(trim(lower(name), ' ' || chr(9) || chr(10) || chr(13)), "
           r"'\s+')), ' ')")
 # Longest common subsequence as a fold over the characters of a; every list
@@ -118,7 +113,45 @@ _LCS = """list_reduce(
     lambda acc, j: list_append(acc, case when ord(substr(b, j[1], 1)) = c[1] then line[j[1]] + 1
       else greatest(acc[j[1]], line[j[1] + 1]) end), [0]),
   list_transform(range(0, length(b) + 1), lambda j: 0))[-1]"""
-_SORTED_POOL = f"select seq, province, {_WORDS} as sorted from name_pool"
+# Whether the longest common subsequence of a and b makes them alike; the distance is the cheap bound.
+_ALIKE = f"""a = b or (abs(length(a) - length(b)) * 100 <= 13 * (length(a) + length(b))
+  and levenshtein(a, b) * 100 <= 13 * (length(a) + length(b)) and 200 * {{lcs}} >= 87 * (length(a) + length(b)))"""
+
+
+def _words(x: str) -> str:
+    return _WORDS.replace("lower(name)", f"lower({x})")
+
+
+@book.add("j03c_components_alike", f"""
+select * from (
+with recursive keys as ({KEY_ROWS}),
+placed as (select * from good where province is not null and city is not null),
+q as (select seq, province, city, {_words('name_key')} as a from placed where name_key <> ''),
+c as (select seq, province, city, {_words('v')} as b from (select *, unnest([legal_name, operating_name]) as v from placed) where v <> ''),
+dq as (select province, city, a, min(seq) as asker from q group by all),
+dc as (select province, city, b, min(seq) as holder from c group by all),
+pairs as materialized (select * from dq join dc using (province, city) where {_ALIKE.format(lcs=_LCS)}),
+links as (
+  select k.seq as a, f.holder as b from keys k
+  join (select kind, value, min(seq) as holder from keys group by 1, 2) f using (kind, value)
+  union all select seq, asker from q join dq using (province, city, a)
+  union all select seq, holder from c join (select distinct province, city, b, holder from pairs) using (province, city, b)
+  union all select asker, holder from pairs),
+edges as (select a, b from links where a <> b union select b, a from links where a <> b),
+reach as (select seq as node, seq as label from good
+  union select e.b, r.label from reach r join edges e on e.a = r.node where r.label < e.b)
+select node as seq, min(label) as business_id from reach group by 1)""")
+def alike_components(spark, sf_dir):
+    records = materialize(inputs.good_records(spark, sf_dir), "records")
+    return resolve.resolve_components(records, fuzzy=True)
+
+
+def _name_pool(spark, sf_dir):
+    pool = inputs.derive(spark, sf_dir, inputs.NAME_POOL)
+    return pool.select("seq", "province", "city", F.lower(strip(F.col("name"))).alias("name_key"))
+
+
+_SORTED_POOL = f"select seq, province, city, {_WORDS} as sorted from name_pool"
 
 
 @book.add("j02_similar_names", f"""
@@ -127,7 +160,7 @@ select seq, owner, score from (
     select seq, owner, round(200.0 * case when a = b then length(a) else {_LCS} end / (length(a) + length(b)), 6) as score
     from (
       select q.seq, c.seq as owner, q.sorted as a, c.sorted as b
-      from ({_SORTED_POOL}) q join ({_SORTED_POOL}) c on q.province = c.province and c.seq < q.seq
+      from ({_SORTED_POOL}) q join ({_SORTED_POOL}) c on q.province = c.province and q.city = c.city and c.seq < q.seq
       where abs(length(q.sorted) - length(c.sorted)) * 100 <= 13 * (length(q.sorted) + length(c.sorted)))
     where a = b or levenshtein(a, b) * 100 <= 13 * (length(a) + length(b)))
   where score >= 87)
@@ -145,7 +178,7 @@ def similar(spark, sf_dir):
 select seq, round(200.0 * {_LCS} / (length(a) + length(b)), 6) as ratio from (
   select q.seq, q.sorted as a, c.sorted as b from ({_SORTED_POOL}) q join ({_SORTED_POOL}) c on c.seq = q.seq + 1)""")
 def ratios(spark, sf_dir):
-    """Each document name against the name of the next document."""
+    """Each name against the next one."""
     pool = _name_pool(spark, sf_dir)
     other = pool.select((F.col("seq") - 1).alias("seq"), F.col("name_key").alias("other"))
     return pool.join(other, "seq").select(
@@ -154,8 +187,7 @@ def ratios(spark, sf_dir):
 
 @book.add("t09_capped_candidates", """
 select province, city, owner from (
-  select lang as province, lang as city, seq as owner, row_number() over (partition by lang order by seq) as k
-  from (select province as lang, seq from name_pool)) where k <= 50""")
+  select province, city, seq as owner, row_number() over (partition by province, city order by seq) as k from name_pool) where k <= 50""")
 def capped(spark, sf_dir):
     pool = _name_pool(spark, sf_dir)
     names = pool.select(F.col("seq").alias("owner"), "province", "city", F.col("name_key").alias("sorted"))
