@@ -1,8 +1,10 @@
 """Words of many texts at once: places, 64-bit hashes and hashes of word runs, all in numpy.
 
 A word is a run of bytes other than space and tab to carriage return, so words of one text never join those of the
-next. Hashes are polynomials modulo 2^64 over random byte values, mixed at the end; two of them with unlike seeds serve
-where equality is decided by hash alone. Temporary arrays are bounded by CHUNK bytes of text (or one longer word).
+next. A word's hash takes its bytes by eights: every group is mixed, multiplied by a number of its own place and only
+then added, so no pattern of repeated letters cancels out, whatever the seed. Hashes of runs are put together by halves
+in the same way. Two hashes with unlike seeds serve where equality is decided by hash alone. Temporary arrays are bounded
+by CHUNK bytes of text (or one longer word).
 """
 
 from __future__ import annotations
@@ -34,29 +36,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@lru_cache(maxsize=4)
-def _bytes_of_seed(seed: int, lower: bool) -> np.ndarray:
-    values = np.random.default_rng(_SEEDS[seed]).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return values[_LOWER] if lower else values
-
-
 @lru_cache(maxsize=16)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
+def _factors(seed: int, size: int) -> np.ndarray:
+    """An odd number of its own for each place."""
+    return mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(_SEEDS[seed])) | np.uint64(1)
 
-def _table(base: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(10, int(least).bit_length()))
 
-
-_BYTE_BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)
-_WORD_BASE = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xE7037ED1A0B428DB)
+#: Masks of the first 0 to 8 bytes of a group.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,34 +113,47 @@ def hashes(data: np.ndarray, words: Words, lower: bool = True, seed: int = 0) ->
     """One 64-bit hash for each word."""
     start, end = words.start, words.end
     out = np.empty(len(start), np.uint64)
-    values, base = _bytes_of_seed(seed, lower), _BYTE_BASE[seed]
+    salt = np.uint64(_SEEDS[seed] * 0xD1342543DE82EF95 % (1 << 64))
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(start, start[i] + CHUNK)))
         a, b = int(start[i]), int(end[j - 1])
-        power, inverse = _table(base, b - a)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(values[data[a:b]] * power[:b - a], out=sums[1:])
-        out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * inverse[start[i:j] - a]
+        part = np.zeros(b - a + 8, np.uint8)
+        part[:b - a] = _LOWER[data[a:b]] if lower else data[a:b]
+        groups = np.ndarray(b - a + 1, "<u8", part, strides=(1,))
+        size = end[i:j] - start[i:j]
+        held = (size + 7) >> 3
+        last = np.cumsum(held)
+        first = last - held
+        place = np.arange(last[-1]) - np.repeat(first, held)
+        at = np.repeat(start[i:j] - a, held) + 8 * place
+        value = groups[at] & _HEAD[np.minimum(np.repeat(end[i:j] - a, held) - at, 8)]
+        factor = _factors(seed, 1 << max(6, int(held.max()).bit_length()))
+        out[i:j] = np.add.reduceat(mix(value ^ salt) * factor[place], first) + size.astype(np.uint64)
         i = j
     return mix(out)
 
 
 def runs(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """The hash of the n words from each place on; the last n - 1 places are left out."""
-    m = len(h) - n + 1
-    if m <= 0:
+    if len(h) < n:
         return np.zeros(0, np.uint64)
-    out = np.empty(m, np.uint64)
-    base = _WORD_BASE[seed]
-    step = 1 << 16
-    for a in range(0, m, step):
-        b = min(m, a + step)
-        power, inverse = _table(base, b - a + n)
-        sums = np.zeros(b - a + n, np.uint64)
-        np.cumsum(h[a:b + n - 1] * power[:b - a + n - 1], out=sums[1:])
-        out[a:b] = (sums[n:] - sums[:b - a]) * inverse[:b - a]
-    return mix(out)
+    one, two = _factors(seed, 64)[:2]
+    # Runs of doubling length; those of the set bits of n are joined.
+    part, out, size, done = h, None, 1, 0
+    while True:
+        if n & size:
+            if out is None:
+                out = mix(part * one)
+            else:
+                m = min(len(out), len(part) - done)
+                out = mix(out[:m] * one + mix(part[done:done + m] * two))
+            done += size
+        size <<= 1
+        if size > n:
+            return out
+        half = size >> 1
+        part = mix(part[:len(part) - half] * one + mix(part[half:] * two))
 
 
 def whole(row: np.ndarray, n: int) -> np.ndarray:
@@ -174,7 +174,7 @@ def shingles(data: np.ndarray, words: Words, n: int, lower: bool = True, seed: i
             first = words.first[short]
             part = np.zeros(len(short), np.uint64)
             for j in range(k):
-                part = mix(part * np.uint64(_WORD_BASE[seed]) + h[first + j] + np.uint64(k))
+                part = mix(part * _factors(seed, 64)[2] + h[first + j] + np.uint64(k))
             row, value = np.concatenate([row, short]), np.concatenate([value, part])
     return row, value
 
