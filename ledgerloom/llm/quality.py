@@ -129,10 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, rounds:
 def score(docs: DataFrame, w: np.ndarray, carry: list[str] | None = None) -> DataFrame:
     """docs' doc_id and `carry` columns with a score of 0 to 1 for every whole text; null is scored as empty.
 
-    Every row comes back, also those that share or lack a doc_id; an empty table gives no rows.
+    Every row comes back, also those that share or lack a doc_id; an empty table gives no rows. A carried column named
+    score gives way to the score.
     """
     known = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))
-    names = ["doc_id", *(carry or [])]
+    names = ["doc_id", *(c for c in carry or [] if c.lower() != "score")]
     read = names if "text" in names else [*names, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ledgerloom.llm import words
 from ledgerloom.llm.scratch import Scratch
 
 RANGES = 64
@@ -104,7 +105,11 @@ def shard(docs: DataFrame, shards: int, ranges: int = RANGES, sample: int = SAMP
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int) -> None:
-    """Write every row of `docs` once below `folder`, a directory for each shard; rows may share or lack a doc_id."""
-    rows = Scratch(docs.sparkSession, "shards").keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    placed = shard(rows, shards, key="_row").select(F.col("row").alias("_row"), "shard", "slot")
-    rows.join(placed, "_row").drop("_row").write.partitionBy("shard").parquet(folder)
+    """Write every row of `docs` once below `folder`, a directory for each shard; rows may share or lack a doc_id.
+
+    The added columns shard and slot take a longer name (`shard_`) where `docs` has a column of that name.
+    """
+    row, shard_, slot = (words.fresh_name(n, docs.columns) for n in ("row", "shard", "slot"))
+    rows = Scratch(docs.sparkSession, "shards").keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    placed = shard(rows, shards, key=row).select(F.col("row").alias(row), F.col("shard").alias(shard_), F.col("slot").alias(slot))
+    rows.join(placed, row).drop(row).write.partitionBy(shard_).parquet(folder)

@@ -166,9 +166,11 @@ def remove_repeats(docs: DataFrame, width: int = 20, most_bits: int = 26, carry:
     place = F.struct("doc_id", "row", "start")
     first = F.min(place).over(Window.partitionBy("h1", "h2"))
     later = hits.withColumn("_first", first).where((F.col("run") > 0) | (place > F.col("_first")))
-    covers = later.groupBy(F.col("doc_id").alias("_cover"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "run")).alias("_covers"))
-    own = (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("_cover")) & (row == F.col("_row"))
+    # Names of our own that no column of the caller has.
+    cover, key_of, held = (words.fresh_name(n, docs.columns) for n in ("cover", "row", "covers"))
+    covers = later.groupBy(F.col("doc_id").alias(cover), F.col("row").alias(key_of)).agg(F.collect_list(F.struct("start", "run")).alias(held))
+    own = (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col(cover)) & (row == F.col(key_of))
     names = ["doc_id", *carry]
-    joined = docs.join(covers, own, "left").select("_covers", *names, *([] if "text" in carry else ["text"]))
+    joined = docs.join(covers, own, "left").select(held, *names, *([] if "text" in carry else ["text"]))
     kinds = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
     return joined.mapInArrow(_cut(width, names), f"{kinds}, kept string, n_words long, n_removed long")

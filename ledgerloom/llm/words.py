@@ -46,6 +46,14 @@ def _factors(seed: int, size: int) -> np.ndarray:
 _HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """The name, made longer until no column has it, in capitals or not."""
+    low = {t.lower() for t in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
