@@ -1,8 +1,8 @@
 """Corpus pipeline: quality filter, near-duplicate join, passage removal, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) with docs in the columns of `documents`, and its result is written and read
-again before the next. The first adds a key of its own for each row, KEY, which the others carry (a stage that gets no
-key writes its input with one first), so rows that share or lack a doc_id are documents of their own everywhere. Null
+again before the next. The first adds a key of its own for each row, KEY, known by a mark in its schema, which the others
+carry (a stage that gets no such key writes its input with one first; a user's column of that name is left out), so rows that share or lack a doc_id are documents of their own everywhere. Null
 ids count as the smallest. The last stage returns the pieces of packed sequences.
 """
 
@@ -13,7 +13,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F  # noqa: E402
 
 from ledgerloom.llm import containment, jaccard, packing, quality, substrings  # noqa: E402
 from ledgerloom.llm.scratch import Scratch  # noqa: E402
@@ -21,6 +21,8 @@ from ledgerloom.session import tune  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KEY = "row_key"
+#: Written into the schema of our own key column; a column of the user's that has its name lacks it.
+MARK = {"made_by": "corpus_pipeline"}
 KEEP_FROM = 0.3
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 WINDOW = 20
@@ -32,11 +34,19 @@ TOKENIZER, END_ID, LENGTH = "byte_bpe_50k.json", 0, 1024
 ORACLE_SQL = None
 
 
+def _has_key(docs: DataFrame) -> bool:
+    return KEY in docs.columns and docs.schema[KEY].metadata == MARK
+
+
+def _key(column) -> Column:
+    return column.alias(KEY, metadata=MARK)
+
+
 def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Documents with KEY; it's written before anything reads it twice."""
-    if KEY in docs.columns:
+    if _has_key(docs):
         return docs.select(*COLUMNS, KEY)
-    return Scratch(spark, "pipeline").keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(KEY)), "keyed")
+    return Scratch(spark, "pipeline").keep(docs.select(*COLUMNS, _key(F.monotonically_increasing_id())), "keyed")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -48,9 +58,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose quality scores below KEEP_FROM go. Labels of one fold in five are left for measuring."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     weights = quality.fit(tune(spark) and docs, labels)
-    held = [KEY] if KEY in docs.columns else []
+    held = [KEY] if _has_key(docs) else []
     good = quality.score(docs, weights, carry=["text", "lang", "source", "n_chars", *held]).where(F.col("score") >= KEEP_FROM)
-    return good.select(*COLUMNS, F.col(KEY) if held else F.monotonically_increasing_id().alias(KEY))
+    return good.select(*COLUMNS, _key(F.col(KEY) if held else F.monotonically_increasing_id()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +82,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cut = substrings.remove_repeats(_keyed(tune(spark), docs), WINDOW, carry=["text", "lang", "source", "n_chars", KEY], key=KEY)
     changed = F.col("n_removed") > 0
     return cut.select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
-                      F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), KEY)
+                      F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), _key(F.col(KEY)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
