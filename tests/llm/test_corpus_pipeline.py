@@ -36,7 +36,21 @@ def folder(spark, rows, tmp_path_factory):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(d, t, "xx", "s", len(t), k) for d, t, k in rows], KIND)
+    made = spark.createDataFrame([(d, t, "xx", "s", len(t), k) for d, t, k in rows], KIND)
+    return made.withColumn("row_key", made["row_key"].alias("row_key", metadata=cp.MARK))
+
+
+def test_a_column_of_the_users_named_like_the_key_is_no_key(spark, tmp_path):
+    texts = [" ".join(f"w{i * 100 + j}" for j in range(30)) for i in range(5)]
+    docs = spark.createDataFrame([(i, texts[i % 5], "xx", "s", 9, 1) for i in range(10)], KIND)
+    docs.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    left = cp.near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == list(range(5))
+    left.write.parquet(f"{tmp_path}/left")
+    again = spark.read.parquet(f"{tmp_path}/left")
+    assert cp._has_key(again) and not cp._has_key(docs)
+    assert sorted(r.doc_id for r in cp.repeated_passages(spark, again, str(tmp_path)).collect()) == list(range(5))
 
 
 def order(row):
