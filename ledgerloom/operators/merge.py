@@ -37,22 +37,23 @@ def _confidence(field: str) -> Column:
     return F.when(_text(field).isNotNull(), own)
 
 
-def _each(expr: Callable[[str], Column], prefix: str) -> list[Column]:
-    return [expr(f).alias(f"{prefix}{f}") for f in MERGE_FIELDS]
+def _each(expr: Callable[[str], Column], prefix: str, fields: list[str] = MERGE_FIELDS) -> list[Column]:
+    return [expr(f).alias(f"{prefix}{f}") for f in fields]
 
 
-def with_prior(records: DataFrame, prior: DataFrame | None) -> DataFrame:
+def with_prior(records: DataFrame, prior: DataFrame | None, fields: list[str] = MERGE_FIELDS) -> DataFrame:
     """Records, plus the present golden record of each business as row seq -1."""
-    picked = "struct<" + ",".join(f"{f}:decimal(4,2)" for f in MERGE_FIELDS) + ">"
+    picked = "struct<" + ",".join(f"{f}:decimal(4,2)" for f in fields) + ">"
     sizes = ["employee_count_min", "employee_count_max"]
     rows = records.select(
-        "business_id", "seq", F.lit(False).alias("is_prior"), "confidence", *MERGE_FIELDS,
+        "business_id", "seq", F.lit(False).alias("is_prior"), "confidence", *fields,
         F.lit(None).cast(picked).alias("picked"), *sizes, *PROVENANCE)
     if prior is None:
         return rows
     return rows.unionByName(prior.select(
         "business_id", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("is_prior"),
-        F.lit(None).cast("decimal(4,2)").alias("confidence"), *MERGE_FIELDS, "picked",
+        F.lit(None).cast("decimal(4,2)").alias("confidence"), *fields,
+        F.struct(*[F.col("picked")[f].alias(f) for f in fields]).alias("picked"),
         *[F.lit(None).cast("int").alias(c) for c in sizes],
         *[F.lit(None).cast("string").alias(c) for c in PROVENANCE]))
 
@@ -63,17 +64,17 @@ def hot_businesses(records: DataFrame, run_length: int = RUN_LENGTH) -> DataFram
 
 
 def record_history(
-    records: DataFrame, prior: DataFrame | None = None, run_length: int = RUN_LENGTH
+    records: DataFrame, prior: DataFrame | None = None, run_length: int = RUN_LENGTH, fields: list[str] = MERGE_FIELDS
 ) -> DataFrame:
     """Every row with, per field, what was accepted and what it replaced.
 
     Adds ``ok_<field>`` (accepted), ``was_<field>`` (last accepted value before),
     ``is_new`` (first record of its business) and ``changed_fields``.
     """
-    rows = with_prior(records, prior)
+    rows = with_prior(records, prior, fields)
     hot = hot_businesses(records, run_length)
     if hot.isEmpty():
-        return _named_changes(_judge(rows, ["business_id"], None, None))
+        return _named_changes(_judge(rows, ["business_id"], None, None, fields), fields)
 
     # The list of hot businesses is bounded by its construction.
     rows = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "business_id", "left").withColumn(
@@ -83,47 +84,49 @@ def record_history(
     earlier = Window.partitionBy("business_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
 
     best = hot_rows.groupBy(*key).agg(
-        *_each(lambda f: F.max(_confidence(f)), "top_"), F.count(F.lit(1)).alias("rows"))
+        *_each(lambda f: F.max(_confidence(f)), "top_", fields), F.count(F.lit(1)).alias("rows"))
     best = best.select(
-        *key, *_each(lambda f: F.max(f"top_{f}").over(earlier), "top_"),
+        *key, *_each(lambda f: F.max(f"top_{f}").over(earlier), "top_", fields),
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"))
 
-    first = _judge(rows, key, best, None)
+    first = _judge(rows, key, best, None, fields)
     last = first.where("hot").groupBy(*key).agg(
         *_each(lambda f: F.max_by(F.when(F.col(f"ok_{f}"), _text(f)),
-                                  F.when(F.col(f"ok_{f}"), F.col("seq"))), "last_"))
-    last = last.select(*key, *_each(lambda f: F.last(f"last_{f}", ignorenulls=True).over(earlier), "last_"))
-    return _named_changes(_judge(rows, key, best, last)).drop("hot", "run")
+                                  F.when(F.col(f"ok_{f}"), F.col("seq"))), "last_", fields))
+    last = last.select(*key, *_each(lambda f: F.last(f"last_{f}", ignorenulls=True).over(earlier), "last_", fields))
+    return _named_changes(_judge(rows, key, best, last, fields), fields).drop("hot", "run")
 
 
-def _judge(rows: DataFrame, key: list[str], best: DataFrame | None, last: DataFrame | None) -> DataFrame:
+def _judge(
+    rows: DataFrame, key: list[str], best: DataFrame | None, last: DataFrame | None, fields: list[str]
+) -> DataFrame:
     before = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     judged = rows.select(
-        "*", *_each(lambda f: F.max(_confidence(f)).over(before), "seen_"),
+        "*", *_each(lambda f: F.max(_confidence(f)).over(before), "seen_", fields),
         F.count(F.lit(1)).over(before).alias("rows_seen"))
-    seen = {f: F.col(f"seen_{f}") for f in MERGE_FIELDS}
+    seen = {f: F.col(f"seen_{f}") for f in fields}
     count = F.col("rows_seen")
     if best is not None:
         judged = judged.join(best, key, "left")
-        seen = {f: F.greatest(f"seen_{f}", f"top_{f}") for f in MERGE_FIELDS}
+        seen = {f: F.greatest(f"seen_{f}", f"top_{f}") for f in fields}
         count = count + F.coalesce("rows_before", F.lit(0))
     judged = judged.select(
         *rows.columns, (count == 0).alias("is_new"),
         *_each(lambda f: F.coalesce(
-            _confidence(f) >= F.coalesce(seen[f], F.lit(0)), F.lit(False)), "ok_"))
+            _confidence(f) >= F.coalesce(seen[f], F.lit(0)), F.lit(False)), "ok_", fields))
     judged = judged.select("*", *_each(
-        lambda f: F.last(F.when(F.col(f"ok_{f}"), _text(f)), ignorenulls=True).over(before), "was_"))
+        lambda f: F.last(F.when(F.col(f"ok_{f}"), _text(f)), ignorenulls=True).over(before), "was_", fields))
     if last is not None:
         judged = judged.join(last, key, "left").select(
             *[c for c in judged.columns if not c.startswith("was_")],
-            *_each(lambda f: F.coalesce(f"was_{f}", f"last_{f}"), "was_"))
+            *_each(lambda f: F.coalesce(f"was_{f}", f"last_{f}"), "was_", fields))
     return judged
 
 
-def _named_changes(judged: DataFrame) -> DataFrame:
+def _named_changes(judged: DataFrame, fields: list[str]) -> DataFrame:
     names = F.array(*[
         F.when(F.col(f"ok_{f}") & (F.coalesce(f"was_{f}", F.lit("")) != _text(f)), F.lit(f))
-        for f in MERGE_FIELDS])
+        for f in fields])
     changed = F.when(F.col("is_new") | F.col("is_prior"), F.array().cast("array<string>")).otherwise(
         F.array_compact(names))
     return judged.withColumn("changed_fields", changed)

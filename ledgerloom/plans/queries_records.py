@@ -88,6 +88,13 @@ def in_order(spark, sf_dir):
     return resolve.resolve_in_order(records, fuzzy=False)
 
 
+@book.add("j03d_replay_alike")
+def in_order_alike(spark, sf_dir):
+    """Replay with alike names; compared with a plain replay in tests/test_records.py."""
+    records = materialize(inputs.good_records(spark, sf_dir), "records")
+    return resolve.resolve_in_order(records)
+
+
 @book.add("j03_components", f"""
 select * from (
 with recursive keys as ({KEY_ROWS}),
@@ -194,13 +201,35 @@ def capped(spark, sf_dir):
     return match.capped_candidates(names, 50).select("province", "city", "owner")
 
 
-@book.add("w07_first_key", f"select seq, count(*) as known_keys, min(place) as best_place from ({KEY_ROWS}) group by 1")
-def key_ranks(spark, sf_dir):
-    rows = keys.record_keys(inputs.good_records(spark, sf_dir))
-    return rows.groupBy("seq").agg(F.count(F.lit(1)).alias("known_keys"), F.min("priority").alias("best_place"))
+@book.add("w07_first_hit", f"""
+select * from (
+with keys as ({KEY_ROWS}),
+owners as (select kind, value, min(seq) as business_id from keys where {SNAPSHOT} group by 1, 2),
+hits as (select k.seq, o.business_id, k.kind, k.place from keys k join owners o using (kind, value) where not ({SNAPSHOT.replace('seq', 'k.seq')}))
+select seq, kind as key_type, business_id, row_number() over (partition by seq order by place)::int as rank,
+  count(distinct business_id) over (partition by seq) as owners from hits)""")
+def ranked_hits(spark, sf_dir):
+    """Every known key of a record with its owner, the strongest first, and how many owners its keys name."""
+    records = inputs.good_records(spark, sf_dir)
+    held = F.expr(SNAPSHOT)
+    identifiers = keys.register_identifiers(records.where(held).withColumn("business_id", F.col("seq")))
+    return match.ranked_hits(records.where(~held), identifiers)
+
+
+@book.add("w01_accepted", """
+select business_id, seq, field_name, field_value, confidence, coalesce(confidence >= seen, true) as accepted from (
+  select *, max(confidence) over (partition by business_id, field_name order by seq
+    rows between unbounded preceding and 1 preceding) as seen from vals)""")
+def judged_values(spark, sf_dir):
+    """Every value that came, accepted or turned down."""
+    history = inputs.history(spark, sf_dir)
+    entries = F.array_compact(F.array(*[
+        F.when(F.nullif(F.col(f).cast("string"), F.lit("")).isNotNull(), F.struct(
+            F.lit(f).alias("field_name"), F.col(f).cast("string").alias("field_value"), F.col(f"ok_{f}").alias("accepted")))
+        for f in MERGE_FIELDS]))
+    return history.select("business_id", "seq", "confidence", F.inline(entries))
 
 
-@book.add("w01_accepted", "select business_id, seq, field_name, field_value, confidence from accepted")
 @book.add("d04_provenance", "select business_id, seq, field_name, field_value, confidence from accepted")
 def accepted(spark, sf_dir):
     return inputs.field_sources(spark, sf_dir).select("business_id", "seq", "field_name", "field_value", "confidence")
