@@ -41,6 +41,17 @@ TWO_LABEL_SUFFIXES = [
 # two-letter top-level name they count as a suffix, listed above or not: a
 # suffix taken for a domain would make one company of a whole country.
 REGISTRY_LABELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "govt", "mil", "ne", "net", "nom", "or", "org"]
+# Names below which every label is a public suffix, and the names
+# below them that are ordinary ones all the same.
+WILDCARD_SUFFIXES = [
+    "bd", "ck", "er", "fk", "jm", "kh", "mm", "np", "pg",
+    "kawasaki.jp", "kitakyushu.jp", "kobe.jp", "nagoya.jp", "sapporo.jp", "sendai.jp", "yokohama.jp",
+]
+EXCEPTED_NAMES = [
+    "www.ck",
+    "city.kawasaki.jp", "city.kitakyushu.jp", "city.kobe.jp", "city.nagoya.jp", "city.sapporo.jp",
+    "city.sendai.jp", "city.yokohama.jp",
+]
 # Top-level names that are a suffix even when they stand alone.
 SINGLE_LABEL_SUFFIXES = ["ca", "com", "org", "net", "info", "biz", "io", "co", "us", "uk", "fr", "de", "eu"]
 
@@ -99,12 +110,28 @@ def domain_of_host(host: Column, suffixes: Sequence[str] = tuple(TWO_LABEL_SUFFI
     """Registrable domain: the label before the longest public suffix, and it.
 
     Any alphabetic top-level name counts as a suffix, and so do registry labels
-    below a country. A host that is itself a suffix has no domain.
+    below a country. The longest rule wins: an excepted name is a domain though
+    a wildcard makes its like suffixes. A host that is itself a suffix has no
+    domain.
     """
     tail = F.substring_index(host, ".", -2)
+    wild = {size: [w for w in WILDCARD_SUFFIXES if w.count(".") == size - 1] for size in (1, 2)}
+
+    def below(size: int) -> Column:
+        """Whether the host lies below a wildcard of so many labels; the suffix is one label longer."""
+        known = F.substring_index(host, ".", -size)
+        return known.isin(wild[size]) & (known != host)
+
+    def beyond(size: int) -> Column:
+        suffix, domain = F.substring_index(host, ".", -size - 1), F.substring_index(host, ".", -size - 2)
+        return F.when(suffix != host, domain)
     registry = tail.rlike(rf"^(?:{'|'.join(REGISTRY_LABELS)})\.[a-z]{{2}}$")
     return (
         F.when(~F.contains(host, F.lit(".")), F.when(~host.isin(SINGLE_LABEL_SUFFIXES), host))
+        .when(F.substring_index(host, ".", -3).isin(EXCEPTED_NAMES), F.substring_index(host, ".", -3))
+        .when(tail.isin(EXCEPTED_NAMES), tail)
+        .when(below(2), beyond(2))
+        .when(below(1), beyond(1))
         .when(tail.isin(list(suffixes)) | registry, F.when(host != tail, F.substring_index(host, ".", -3)))
         .when(host.rlike(r"\.(?:[a-z]{2,}|xn--[a-z0-9\-]+)$"), tail)
         .when(host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), host)

@@ -5,7 +5,7 @@ Only the input texts are shared with the Spark side.
 
 from __future__ import annotations
 
-from ledgerloom.functions import labels, measures, text
+from ledgerloom.functions import labels, measures, reach, text
 from ledgerloom.plans import inputs
 from ledgerloom.schemas import BUSINESS_STATUSES, MERGE_FIELDS
 
@@ -73,7 +73,11 @@ def host(x: str) -> str:
 def domain_of(h: str) -> str:
     parts = f"string_split({h}, '.')"
     suffix = "(on\\.ca|(ac|co|com|edu|go|gob|gov|govt|mil|ne|net|nom|or|org)\\.[a-z][a-z])"
-    return (f"case when {h} is null or regexp_full_match({h}, '{suffix}') then null "
+    wild = "(" + "|".join(w.replace(".", "\\.") for w in reach.WILDCARD_SUFFIXES) + ")"
+    excepted = "(" + "|".join(w.replace(".", "\\.") for w in reach.EXCEPTED_NAMES) + ")"
+    return (f"case when regexp_matches({h}, '(^|\\.){excepted}$') then regexp_extract({h}, '(^|\\.){excepted}$', 2) "
+            f"when regexp_matches({h}, '\\.{wild}$') then nullif(regexp_extract({h}, '(^|\\.)([^.]+\\.[^.]+\\.{wild})$', 2), '') "
+            f"when {h} is null or regexp_full_match({h}, '{suffix}') then null "
             f"when regexp_full_match({h}, '.*\\.{suffix}') then array_to_string({parts}[-3:], '.') "
             f"when len({parts}) = 1 then case when {h} not in ('ca', 'com') then {h} end "
             f"else array_to_string({parts}[-2:], '.') end")

@@ -201,6 +201,12 @@ def capped(spark, sf_dir):
     return match.capped_candidates(names, 50).select("province", "city", "owner")
 
 
+@book.add("w07_first_key", f"select seq, count(*) as known_keys, min(place) as best_place from ({KEY_ROWS}) group by 1")
+def key_ranks(spark, sf_dir):
+    rows = keys.record_keys(inputs.good_records(spark, sf_dir))
+    return rows.groupBy("seq").agg(F.count(F.lit(1)).alias("known_keys"), F.min("priority").alias("best_place"))
+
+
 @book.add("w07_first_hit", f"""
 select * from (
 with keys as ({KEY_ROWS}),
@@ -373,3 +379,20 @@ group by 1, 2, 3""")
 def rolling(spark, sf_dir):
     """The batch twin of the stream: the same windows over the whole table."""
     return rolling_counts(inputs.events(spark, sf_dir))
+
+
+@book.add("k02b_rolling_stream", f"""
+select * from (select window_start, window_start + interval 30 days as window_end, event_type, count(*) as n from (
+  select event_type, unnest(generate_series(
+    date_trunc('day', detected_at) - interval 29 days, date_trunc('day', detected_at), interval 1 day)) as window_start
+  from biz_events) group by 1, 2, 3)
+where window_end <= (select max(detected_at) from biz_events) - interval 1 day""")
+def rolling_stream(spark, sf_dir):
+    """The stream itself: the windows that are over for certain, one day after their end."""
+    root = scratch_path(spark, "rolling")
+    inputs.events(spark, sf_dir).write.parquet(f"{root}/landing")
+    landed = spark.read.parquet(f"{root}/landing")
+    counts = rolling_counts(spark.readStream.schema(landed.schema).parquet(f"{root}/landing"))
+    counts.writeStream.format("parquet").option("path", f"{root}/counts").option(
+        "checkpointLocation", f"{root}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{root}/counts")

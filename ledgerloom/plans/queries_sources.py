@@ -13,7 +13,7 @@ from ledgerloom.operators import contacts as ct
 from ledgerloom.operators import export, leads
 from ledgerloom.plans import inputs, oracle
 from ledgerloom.plans.book import Book
-from ledgerloom.plans.pipeline import collect
+from ledgerloom.plans.pipeline import collect, with_arrival_order, with_place
 from ledgerloom.plans.queries_leads import EXPORT, NO_CONTACT
 from ledgerloom.session import scratch_path
 from ledgerloom.sources import files, listings, registry, topics
@@ -233,19 +233,25 @@ def listing_scan(spark, sf_dir):
     return found.select("legal_name", "industry", "address_line1", "phone", "website", "source_url")
 
 
-@book.add("s11_csv_export", f"select business_id, legal_name, quality_score, decision_makers, contact_emails from ("
-          f"{EXPORT.replace('select b.legal_name', 'select b.business_id, b.legal_name')})")
+def _as_written(column: str) -> str:
+    """A value as the file shows it."""
+    if column in ("first_seen_at", "last_verified_at"):
+        return f"strftime({column}, '%Y-%m-%d %H:%M:%S') || 'Z'"
+    return f"cast({column} as varchar)"
+
+
+@book.add("s11_csv_export", f"""
+select row_number() over (order by quality_score desc, business_id) - 1 as place,
+  {', '.join(f"coalesce({_as_written(c)}, '') as {c}" for c in export.EXPORT_COLUMNS)}
+from ({EXPORT.replace('select b.legal_name', 'select b.business_id, b.legal_name')})""")
 def csv_export(spark, sf_dir):
-    """Written as CSV files and read again."""
+    """Written as CSV files and read again: every column, in the order over all files. Quotes and commas
+    come back."""
     rows = export.export_rows(inputs.businesses(spark, sf_dir), inputs.contacts(spark, sf_dir))
     path = scratch_path(spark, "export")
-    export.write_export(rows.withColumn("industry", F.col("business_id").cast("string")), path)
-    back = files.read_csv(spark, path)
-    blank = {c: F.coalesce(c, F.lit("")) for c in ("decision_makers", "contact_emails")}
-    return back.select(
-        F.col("industry").cast("bigint").alias("business_id"), "legal_name",
-        F.col("quality_score").cast("decimal(5,2)").alias("quality_score"),
-        *[expr.alias(c) for c, expr in blank.items()])
+    export.write_export(rows, path)
+    back = with_arrival_order(with_place(files.read_csv(spark, path), 0))
+    return back.select(F.col("seq").alias("place"), *[F.coalesce(c, F.lit("")).alias(c) for c in export.EXPORT_COLUMNS])
 
 
 @book.add("s13_table_store", "select contact_id, business_id, role_category, confidence, is_active from biz_contacts")

@@ -45,7 +45,9 @@ book.scalar(
     cases("customer", "c_custkey", f"'https://www.Firm' || {CUST} || '.ca/about'", f"'shop.firm' || {CUST} || '.on.ca'",
           f"'http://firm' || {CUST} || '.co.uk:8080/x?y=1'", "'N/A'", "'localhost'", "''", "null",
           f"'www.a.b.firm' || {CUST} || '.com'", "'ca'", "'on.ca'", f"'firm' || {CUST} || '.com.ng'",
-          f"'https://shop.firm' || {CUST} || '.co.ke/x'", "'com.ng'", "'org.zz'"),
+          f"'https://shop.firm' || {CUST} || '.co.ke/x'", "'com.ng'", "'org.zz'",
+          f"'https://shop.firm' || {CUST} || '.any.ck/'", "'any.ck'", "'shop.www.ck'", "'www.ck'", "'ck'",
+          f"'a.firm' || {CUST} || '.ward.kobe.jp'", "'ward.kobe.jp'", "'www.city.kobe.jp'", "'kobe.jp'", "'x.kobe.jp'"),
     reach.normalize_domain, oracle.domain("v"))
 book.scalar(
     "n05_clean_string",

@@ -24,6 +24,8 @@ CASES = [
         "Ontario": "ON", "on": "ON", "ON": "ON", "BRITISH COLUMBIA": "BC", "quebec": "QC", "Québec": "QU",
         None: None, "": None}),
     (reach.normalize_domain, {
+        "https://shop.firm.any.ck/": "firm.any.ck", "any.ck": None, "a.www.ck": "www.ck", "www.ck": "www.ck",
+        "x.firm.ward.kobe.jp": "firm.ward.kobe.jp", "ward.kobe.jp": None, "www.city.kobe.jp": "city.kobe.jp", "kobe.jp": "kobe.jp",
         "https://www.example.com/about": "example.com", "example.ca": "example.ca", "www.shop.on.ca": "shop.on.ca",
         "http://a.b.co.uk:80/x": "b.co.uk", "on.ca": None, "ca": None, "N/A": None, "localhost": "localhost",
         "10.0.0.1:8080": "10.0.0.1", "user@firm.ca?x": "firm.ca", None: None}),
