@@ -95,14 +95,15 @@ def assign_businesses(
 
     replay:     as if records arrived one at a time (snapshot and batch)
     snapshot:   against the frozen snapshot; the rest become new businesses
-    components: all records of the batch that share keys are one business
+    components: all records of the batch that share keys, or with ``fuzzy`` have
+                alike names in one place, are one business
     """
     identifiers, businesses = store.read("identifiers", version), store.read("businesses", version)
     if mode == "replay":
         return resolve_in_order(records, identifiers, businesses, fuzzy)
     hits = match_snapshot(records, identifiers, businesses, fuzzy).select("seq", "business_id")
     rest = records.join(hits, "seq", "left_anti")
-    fresh = resolve_components(rest) if mode == "components" else rest.select(
+    fresh = resolve_components(rest, fuzzy=fuzzy) if mode == "components" else rest.select(
         "seq", F.col("seq").alias("business_id"))
     return hits.unionByName(fresh)
 
