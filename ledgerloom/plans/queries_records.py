@@ -88,13 +88,6 @@ def in_order(spark, sf_dir):
     return resolve.resolve_in_order(records, fuzzy=False)
 
 
-@book.add("j03d_replay_alike")
-def in_order_alike(spark, sf_dir):
-    """Replay with alike names; compared with a plain replay in tests/test_records.py."""
-    records = materialize(inputs.good_records(spark, sf_dir), "records")
-    return resolve.resolve_in_order(records)
-
-
 @book.add("j03_components", f"""
 select * from (
 with recursive keys as ({KEY_ROWS}),

@@ -302,7 +302,7 @@ def test_replay_uses_the_golden_names_of_the_moment(spark, seed):
                      "phone": rng.choice([None, None, f"+1{rng.randrange(12)}"]), "name_key": legal or other or "",
                      "confidence": Decimal(rng.choice(["0.50", "0.70", "0.90"]))})
     expected = replayed(rows)
-    got = {r.seq: r.business_id for r in resolve.resolve_in_order(records(spark, rows)).collect()}
+    got = {r.seq: r.business_id for r in resolve.resolve_in_order(records(spark, rows), golden_names=True).collect()}
     assert got == expected
     assert len(set(expected.values())) < 60
 
