@@ -51,6 +51,15 @@ def register_identifiers(records: DataFrame, known: DataFrame | None = None) ->
     return both.groupBy("business_id", "key_type", "key_value").agg(F.min("first_seq").alias("first_seq"))
 
 
+def new_identifiers(records: DataFrame, known: DataFrame) -> DataFrame:
+    """Triples of the records that the key table lacks, or has from a later place only."""
+    triple = ["business_id", "key_type", "key_value"]
+    fresh = register_identifiers(records)
+    held = known.select(*triple, F.col("first_seq").alias("held_seq"))
+    return fresh.join(held, triple, "left").where(
+        F.col("held_seq").isNull() | (F.col("first_seq") < F.col("held_seq"))).select(fresh.columns)
+
+
 def key_owners(identifiers: DataFrame) -> DataFrame:
     """One row per key: the business that registered it first.
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -142,6 +143,12 @@ def accepted_values(history: DataFrame, as_of: Column, log_all: bool = False) ->
         "business_id", F.inline(entries), *PROVENANCE, "confidence", "seq", as_of.alias("retrieved_at"))
 
 
+def accepted_sources(history: DataFrame, log_all: bool = False) -> DataFrame:
+    """(business_id, source_name) of the rows ``accepted_values`` logs, without unfolding their fields."""
+    logged = reduce(or_, [_text(f).isNotNull() if log_all else F.col(f"ok_{f}") for f in MERGE_FIELDS])
+    return history.where(~F.col("is_prior") & logged).select("business_id", "source_name").distinct()
+
+
 def upsert_results(history: DataFrame) -> DataFrame:
     """Per record: business, whether it created it, and the fields it changed."""
     return history.where(~F.col("is_prior")).select("seq", "business_id", "is_new", "changed_fields")

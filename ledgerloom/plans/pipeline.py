@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ledgerloom.operators import contacts as ct
 from ledgerloom.operators import events as ev
 from ledgerloom.operators import jobs, merge, scoring, suppression
-from ledgerloom.operators.keys import register_identifiers
+from ledgerloom.operators.keys import new_identifiers, record_keys
 from ledgerloom.operators.match import match_snapshot
 from ledgerloom.operators.normalize import normalize_records, split_valid
 from ledgerloom.operators.resolve import resolve_components, resolve_in_order
 from ledgerloom.schemas import RAW
 from ledgerloom.session import materialize, tune
-from ledgerloom.sources.tables import GROWING_TABLES, TableStore
+from ledgerloom.sources.tables import GROWING_TABLES, TableStore, same_row
 from ledgerloom.sources.topics import officer_contacts
 
 Source = Callable[[SparkSession], DataFrame]
@@ -88,17 +88,19 @@ def collect(spark: SparkSession, sources: Mapping[str, Source], first: int = 0)
     return whole.select([F.col(f.name).cast(f.dataType) for f in RAW.fields]), status
 
 
-def assign_businesses(
-    records: DataFrame, store: TableStore, version: int, mode: str = "replay", fuzzy: bool = True
-) -> DataFrame:
+def assign_businesses(records: DataFrame, store: TableStore, mode: str = "replay", fuzzy: bool = True) -> DataFrame:
     """(seq, business_id) of good records in one of three modes.
 
     replay:     as if records arrived one at a time (snapshot and batch)
     snapshot:   against the frozen snapshot; the rest become new businesses
     components: all records of the batch that share keys, or with ``fuzzy`` have
                 alike names in one place, are one business
+
+    Keys are looked up in their buckets. Alike names may be held by any business,
+    so with ``fuzzy`` the name columns of all of them are read.
     """
-    identifiers, businesses = store.read("identifiers", version), store.read("businesses", version)
+    identifiers = store.lookup("identifiers", record_keys(records))
+    businesses = store.read("businesses", buckets=None if fuzzy else [])
     if mode == "replay":
         return resolve_in_order(records, identifiers, businesses, fuzzy)
     hits = match_snapshot(records, identifiers, businesses, fuzzy).select("seq", "business_id")
@@ -124,34 +126,35 @@ def run_batch(
     The store remembers the highest ``seq`` ever seen, rejected records
     included, and the batch of a stream that this version holds.
     """
-    spark = tune(store.spark)
+    tune(store.spark)
     now = moment(as_of)
-    before = store.version()
-    version = before + 1
+    version = store.begin()
 
     records = materialize(normalize_records(raw), "records")
     last_seq = records.agg(F.max("seq")).first()[0]
     next_seq = max(store.next_seq(), -1 if last_seq is None else last_seq + 1)
     good, rejected = split_valid(records)
-    ids = materialize(assign_businesses(good, store, before, mode, fuzzy), "ids")
-    records = good.join(ids, "seq")
+    ids = materialize(assign_businesses(good, store, mode, fuzzy), "ids")
+    records = materialize(good.join(ids, "seq"), "assigned")
 
+    # From here on only the buckets of these businesses and keys are read and written.
     touched = ids.select("business_id").distinct()
-    snapshot = store.read("businesses", before)
-    prior = snapshot.join(touched, "business_id", "left_semi")
+    prior = materialize(store.lookup("businesses", touched), "prior")
     history = materialize(merge.record_history(records, prior), "history")
 
     store.write("field_sources", merge.accepted_values(history, now, log_all), version)
     store.write("events", ev.change_events(history, now), version)
-    store.write("identifiers", register_identifiers(records, store.read("identifiers", before)), version)
     store.write("rejects", rejected, version)
+    known_keys = store.lookup("identifiers", record_keys(records, with_name=True))
+    store.upsert("identifiers", new_identifiers(records, known_keys), version)
 
-    merged = materialize(merge.merge_snapshot(snapshot, history, now), "merged")
-    due = merged.join(touched, "business_id", "left_semi")
-    log = store.read("field_sources", version).join(touched, "business_id", "left_semi")
-    known = store.read("contacts", before).join(touched, "business_id", "left_semi")
-    scored = scoring.rescore(due, known, log, now)
-    store.write("businesses", merged.join(touched, "business_id", "left_anti").unionByName(scored), version)
+    sources = materialize(store.lookup("business_sources", touched), "sources")
+    gained = merge.accepted_sources(history, log_all)
+    gained = materialize(gained.join(sources, same_row(gained, sources, sources.columns), "left_anti"), "gained")
+    merged = merge.merge_snapshot(prior, history, now)
+    scored = scoring.rescore(merged, store.lookup("contacts", touched), sources.unionByName(gained), now)
+    store.upsert("businesses", scored, version)
+    store.upsert("business_sources", gained, version)
 
     results = merge.upsert_results(history).join(records.select("seq", "source_name"), "seq")
     log_rows = jobs.job_log(jobs.run_counters(results, rejected), now, now)
@@ -172,25 +175,26 @@ def run_sources(
 
 
 def _amend(store: TableStore, businesses: DataFrame, added: Mapping[str, DataFrame]) -> int:
-    before = store.version()
-    version = before + 1
-    store.write("businesses", businesses, version)
-    store.write("identifiers", store.read("identifiers", before), version)
+    """A version in which some businesses change and rows are added to other tables."""
+    version = store.begin()
+    store.upsert("businesses", businesses, version)
     for name, rows in added.items():
-        assert name in GROWING_TABLES
-        store.write(name, rows, version)
+        if name in GROWING_TABLES:
+            store.write(name, rows, version)
+        else:
+            store.upsert(name, rows, version)
     store.commit(version)
     return version
 
 
 def _add_contacts(store: TableStore, found: DataFrame, source: str, as_of: datetime | str) -> int:
     now = moment(as_of)
-    known = store.read("contacts")
-    rows = ct.as_contact_rows(found, source, now)
-    fresh = materialize(rows.join(known.select("contact_id"), "contact_id", "left_anti"), "contacts")
-    businesses, _ = scoring.add_contacts(
-        store.read("businesses"), known, fresh, store.read("field_sources"), now)
-    return _amend(store, businesses, {"contacts": fresh})
+    rows = materialize(ct.as_contact_rows(found, source, now), "found")
+    known = store.lookup("contacts", rows)
+    fresh = materialize(rows.join(known.select("contact_id"), "contact_id", "left_anti").distinct(), "contacts")
+    scored, _ = scoring.add_contacts(
+        store.lookup("businesses", fresh), known, fresh, store.lookup("business_sources", fresh), now)
+    return _amend(store, scored, {"contacts": fresh})
 
 
 def enrich_websites(store: TableStore, pages: DataFrame, as_of: datetime | str, limit: int | None = None) -> int:
@@ -209,12 +213,13 @@ def enrich_officers(store: TableStore, payloads: DataFrame, as_of: datetime | st
 
 def refresh_stale(store: TableStore, as_of: datetime | str) -> int:
     """Touch and rescore the stale businesses."""
-    refreshed, _ = scoring.touch_stale(
-        store.read("businesses"), store.read("contacts"), store.read("field_sources"), moment(as_of))
+    now = moment(as_of)
+    due = materialize(store.read("businesses").where(scoring.stale(now)), "stale")
+    refreshed, _ = scoring.touch_stale(due, store.lookup("contacts", due), store.lookup("business_sources", due), now)
     return _amend(store, refreshed, {})
 
 
 def suppress(store: TableStore, requests: DataFrame) -> int:
     """Record do-not-call requests and mark their businesses."""
-    marked = suppression.mark_do_not_call(store.read("businesses"), requests)
+    marked = suppression.mark_do_not_call(store.lookup("businesses", requests), requests)
     return _amend(store, marked, {"dnc_requests": requests})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import similarity as sim
 from ledgerloom.functions.text import strip
 from ledgerloom.operators import events as ev
-from ledgerloom.operators import jobs, keys, match, merge, resolve
+from ledgerloom.operators import jobs, keys, match, merge, resolve, scoring
 from ledgerloom.operators.normalize import normalize_records, split_valid
 from ledgerloom.plans import inputs
 from ledgerloom.plans.book import Book
@@ -346,12 +346,8 @@ def run_log(spark, sf_dir):
     return rows.drop("started_at", "error_detail")
 
 
-@book.add("k01_incremental_upsert", f"""
-select distinct business_id, kind as key_type, value as key_value from ({IN_ORDER}) w
-join (select seq, kind, value from ({KEY_ROWS}) union all {NAME_ROWS}) k using (seq)""")
-def incremental(spark, sf_dir):
-    """The records land in three steps and are folded in as a stream; the key
-    table afterwards shows under which business each record ended up."""
+def _streamed(spark, sf_dir):
+    """The records land in three steps and are folded in as a stream."""
     root = scratch_path(spark, "upserts")
     raw = inputs.raw_business(spark, sf_dir)
     store = TableStore(spark, f"{root}/tables")
@@ -360,7 +356,32 @@ def incremental(spark, sf_dir):
         upsert_stream(
             landed_records(spark, f"{root}/landing"), store, f"{root}/progress", lambda _: inputs.AS_OF, fuzzy=False,
         ).awaitTermination()
-    return store.read("identifiers").select("business_id", "key_type", "key_value")
+    return store
+
+
+@book.add("k01_incremental_upsert", f"""
+select distinct business_id, kind as key_type, value as key_value from ({IN_ORDER}) w
+join (select seq, kind, value from ({KEY_ROWS}) union all {NAME_ROWS}) k using (seq)""")
+def incremental(spark, sf_dir):
+    """The key table afterwards shows under which business each record ended up."""
+    return _streamed(spark, sf_dir).read("identifiers").select("business_id", "key_type", "key_value")
+
+
+_LOGGED = " union all ".join(
+    f"select business_id, seq, confidence, source_name, '{f}' as field_name from owned where cast({f} as varchar) <> ''" for f in MERGE_FIELDS)
+
+
+@book.add("d07b_kept_sources", f"""
+select * from (
+with owned as (select g.*, w.business_id from good g join ({IN_ORDER}) w using (seq)),
+logged as ({_LOGGED}),
+judged as (select *, max(confidence) over (partition by business_id, field_name order by seq
+  rows between unbounded preceding and 1 preceding) as seen from logged)
+select business_id, count(distinct source_name) as source_count from judged
+where seen is null or confidence >= seen group by 1)""")
+def kept_sources(spark, sf_dir):
+    """Sources per business as scores use them: kept by each batch next to the log, never read from it."""
+    return scoring.source_counts(_streamed(spark, sf_dir).read("business_sources"))
 
 
 @book.add("k02_rolling_counts", """

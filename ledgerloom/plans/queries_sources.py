@@ -259,8 +259,9 @@ def table_store(spark, sf_dir):
     """Two versions are written; a reader sees the rows of both."""
     store = TableStore(spark, scratch_path(spark, "tables"))
     rows = inputs.contacts(spark, sf_dir)
-    for version, half in enumerate([rows.where("business_id % 2 = 0"), rows.where("business_id % 2 = 1")]):
-        store.write("contacts", half, version)
+    for half in [rows.where("business_id % 2 = 0"), rows.where("business_id % 2 = 1")]:
+        version = store.begin()
+        store.upsert("contacts", half, version)
         store.commit(version)
     return store.read("contacts").select("contact_id", "business_id", "role_category", "confidence", "is_active")
 

@@ -77,6 +77,12 @@ FIELD_SOURCES = T.StructType([
     T.StructField("retrieved_at", T.TimestampType()),
 ])
 
+# Sources of which a business has an accepted value: what scores need of the log.
+BUSINESS_SOURCES = T.StructType([
+    T.StructField("business_id", T.LongType()),
+    T.StructField("source_name", T.StringType()),
+])
+
 # One golden record. ``picked`` holds the confidence of each current value, so
 # that a merge needs this table only and never the whole provenance log.
 BUSINESSES = T.StructType(

@@ -272,3 +272,86 @@ def test_rolling_counts_stream(spark, sf, tmp_path):
     seen = {tuple(r) for r in spark.read.parquet(out).collect()}
     # Windows still open at the watermark are not handed out yet.
     assert seen and seen <= whole
+
+
+def bucket_files(store, name, version):
+    import glob
+    return sorted(glob.glob(f"{store.root}/{name}/version={version}/bucket=*/*.parquet"))
+
+
+def test_a_small_batch_touches_its_buckets_only(spark, tmp_path):
+    """300 businesses, then a batch of one known and one new record."""
+    store = TableStore(spark, str(tmp_path / "store"), buckets=16)
+    many = [{"seq": i, "legal_name": f"Firm {i}", "phone": f"416-555-{1000 + i}", "business_status": "active"} for i in range(300)]
+    pipeline.run_batch(store, raw(spark, *many), AS_OF, fuzzy=False)
+    first = store.layout(0)["businesses"]
+    assert len(first) == 16 and all(v == [0] for v in first.values())
+    pipeline.run_batch(store, raw(
+        spark, {"seq": 300, "legal_name": "Firm Seven", "phone": "416-555-1007", "source_name": "other", "business_status": "active"},
+        {"seq": 301, "legal_name": "Firm New"}), AS_OF, fuzzy=False)
+    ids = spark.createDataFrame([(7,), (301,)], "business_id long")
+    known, new = (store.buckets_of("businesses", ids.where(f"business_id = {i}"))[0] for i in (7, 301))
+    after = store.layout(1)["businesses"]
+    # The bucket of a known business is written anew, that of a new one gains a part, all others stay.
+    assert after[known] == [1] and (known == new or after[new] == [0, 1])
+    assert {b for b, v in after.items() if v != [0]} == {known, new}
+    assert {f.split("bucket=")[1].split("/")[0] for f in bucket_files(store, "businesses", 1)} == {str(known), str(new)}
+    # Of the keys only the new triples are written; a known triple stays where it was.
+    assert spark.read.parquet(f"{store.root}/identifiers/version=1").count() == 2
+    assert spark.read.parquet(f"{store.root}/business_sources/version=1").count() == 2
+    # A lookup opens the files of its buckets, and no others.
+    opened = store.lookup("businesses", ids.where("business_id = 301")).inputFiles()
+    assert opened and all(f"bucket={new}/" in f for f in opened)
+    rows = {r.business_id: r for r in store.read("businesses").collect()}
+    assert len(rows) == 301 and rows[8].legal_name == "Firm 8" and store.read("businesses", 0).count() == 300
+    sources = store.read("business_sources").where("business_id = 7").collect()
+    assert sorted(r.source_name for r in sources) == ["other", "test"]
+    # Scores from the kept sources are those from the whole log.
+    from ledgerloom.operators import scoring
+    now = F.lit(AS_OF).cast("timestamp")
+    again = scoring.rescore(store.read("businesses"), store.read("contacts"), store.read("field_sources"), now)
+    assert {(r.business_id, r.quality_score) for r in again.collect()} == {(i, r.quality_score) for i, r in rows.items()}
+
+    # Suppressing one business writes one bucket and copies no key.
+    pipeline.suppress(store, spark.createDataFrame(
+        [(8, "me", "phone", None, None)], "business_id long, requested_by string, channel string, note string, requested_at timestamp"
+    ).withColumn("requested_at", F.lit(AS_OF).cast("timestamp")))
+    assert len({f.split("bucket=")[1].split("/")[0] for f in bucket_files(store, "businesses", 2)}) == 1
+    assert not bucket_files(store, "identifiers", 2) and store.read("businesses").where("do_not_call").count() == 1
+
+
+def test_parts_are_put_together_and_rebucketed(spark, tmp_path):
+    from ledgerloom.sources import tables
+    store = TableStore(spark, str(tmp_path / "store"), buckets=1)
+    pairs = "business_id long, source_name string"
+    for step in range(tables.MOST_PARTS + 3):
+        version = store.begin()
+        # A NULL source is a key like any other: the second time it replaces the first.
+        rows = [(step, "a")] + ([(0, None)] if step in (1, 2) else [])
+        store.upsert("business_sources", spark.createDataFrame(rows, pairs), version)
+        store.commit(version)
+    # Written anew at step 2; the parts after it are put together once there are MOST_PARTS.
+    assert store.layout(tables.MOST_PARTS + 1)["business_sources"][0] == list(range(2, tables.MOST_PARTS + 2))
+    assert store.layout(store.version())["business_sources"][0] == [tables.MOST_PARTS + 2]
+    whole = sorted(map(str, store.read("business_sources").collect()))
+    assert len(whole) == len(set(whole)) == tables.MOST_PARTS + 4
+    store.rebucket(8)
+    assert sorted(map(str, store.read("business_sources").collect())) == whole
+    assert len(store.layout(store.version())["business_sources"]) > 1
+    other = TableStore(spark, store.root)
+    assert other.lookup("business_sources", spark.createDataFrame([(0,)], "business_id long")).count() == 2
+
+
+def test_a_run_that_died_leaves_nothing(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    version = store.begin()
+    store.write("rejects", spark.createDataFrame([(1, "x", "y")], "seq long, source_name string, reason string"), version)
+    store.upsert("business_sources", spark.createDataFrame([(1, "dead")], "business_id long, source_name string"), version)
+    again = store.begin()
+    assert again == version
+    store.upsert("business_sources", spark.createDataFrame([(2, "alive")], "business_id long, source_name string"), again)
+    store.commit(again)
+    assert [r.source_name for r in store.read("business_sources").collect()] == ["alive"]
+    store.write("rejects", spark.createDataFrame([(2, "x", "y")], "seq long, source_name string, reason string"), store.begin())
+    store.commit(1)
+    assert [r.seq for r in store.read("rejects").collect()] == [2]
