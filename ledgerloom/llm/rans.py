@@ -26,6 +26,8 @@ from ledgerloom.llm.scratch import Scratch
 
 MAGIC = b"LRANS1\0\0"
 BLOCK, LANES, TOGETHER = 1 << 17, 256, 8
+# Blocks a task decodes: some eight million ids.
+BLOCKS_A_TASK = 64
 SCALE = 20
 LOW = np.uint64(1 << 31)
 
@@ -257,16 +259,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables: dict[str, Table] = {}
+    held = None
     for batch in batches:
         for name, base, table, first, last in zip(*(c.to_pylist() for c in batch.columns)):
             if table not in tables:
                 with files.reading(table) as source:
                     tables[table] = Table.of(np.array(json.loads(source.read())["freq"], np.int64))
             with files.reading(name) as source:
-                footer = read_footer(source)
-                lengths = np.array(footer["lengths"], np.int64)
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
+                if name != held:
+                    footer = read_footer(source)
+                    lengths = np.array(footer["lengths"], np.int64)
+                    ends = np.cumsum(lengths)
+                    starts, held = ends - lengths, name
                 # The documents that begin between the two checkpoints, to their ends.
                 a, b = np.searchsorted(starts, (first * BLOCK, last * BLOCK))
                 step = a
@@ -288,4 +292,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """
     ranges = (manifest.select("file", "base", "table", F.col("blocks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(TOGETHER))).alias("first"))
               .select("file", "base", "table", "first", F.least(F.col("first") + TOGETHER, F.col("blocks")).alias("last")))
-    return ranges.repartition("file", "first").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    # The rows are a few bytes long and stand for megabytes, so the number of tasks follows the blocks and not their bytes.
+    blocks = manifest.agg(F.sum("blocks")).first()[0] or 0
+    parts = max(1, -(-blocks // BLOCKS_A_TASK))
+    # Runs of blocks of one file stay together, so a task reads few footers.
+    spread = ranges.repartitionByRange(parts, "base", "file", "first").sortWithinPartitions("base", "file", "first")
+    return spread.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
