@@ -17,6 +17,8 @@ from ledgerloom.llm import files, tokens, words
 from ledgerloom.llm.scratch import Scratch
 
 BLOCK_IDS = 1 << 20
+# Blocks a task searches: some eight million ids.
+BLOCKS_A_TASK = 8
 _FOUND_SQL = "file string, block long, ends array<long>, size long"
 
 
@@ -79,7 +81,10 @@ def scan_documents(spark: SparkSession, names: DataFrame, scratch: Scratch, kind
     """
     sizes = names.select("file").distinct().mapInArrow(_sizes(kind), "file string, ids long").where("ids > 0")
     blocks = sizes.select("file", F.explode(F.sequence(F.lit(0), F.floor((F.col("ids") - 1) / block))).alias("block"))
-    found = scratch.keep(blocks.repartition("file", "block").mapInArrow(_scan(kind, end_id, block), _FOUND_SQL), "found")
+    # The rows are a few bytes long and stand for megabytes, so the number of tasks follows the ids and not their bytes.
+    count = sizes.agg(F.sum(F.ceil(F.col("ids") / block))).first()[0] or 0
+    parts = max(1, -(-count // BLOCKS_A_TASK))
+    found = scratch.keep(blocks.repartitionByRange(parts, "file", "block").mapInArrow(_scan(kind, end_id, block), _FOUND_SQL), "found")
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     here = F.col("block") * block
     n = F.size("ends")
