@@ -15,12 +15,13 @@ from ledgerloom.operators.keys import new_identifiers, record_keys
 from ledgerloom.operators.match import match_snapshot
 from ledgerloom.operators.normalize import normalize_records, split_valid
 from ledgerloom.operators.resolve import resolve_components, resolve_in_order
-from ledgerloom.schemas import RAW
+from ledgerloom.schemas import RAW, REJECTS
 from ledgerloom.session import materialize, tune
 from ledgerloom.sources.tables import GROWING_TABLES, TableStore, same_row
 from ledgerloom.sources.topics import officer_contacts
 
-Source = Callable[[SparkSession], DataFrame]
+# A source gives its records, or its records and its rows of the reject table.
+Source = Callable[[SparkSession], DataFrame | tuple[DataFrame, DataFrame]]
 
 
 def moment(as_of: datetime | str | Column) -> Column:
@@ -68,24 +69,29 @@ def with_arrival_order(records: DataFrame, first: int = 0) -> DataFrame:
         "seq", (F.lit(first) + F.coalesce("_before", F.lit(0)) + F.col("_place") - 1).cast("long")).drop(*ARRIVAL, "_place", "_before")
 
 
-def collect(spark: SparkSession, sources: Mapping[str, Source], first: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(RAW records of all sources, one status row per source).
+def collect(spark: SparkSession, sources: Mapping[str, Source], first: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(RAW records of all sources, one status row per source, malformed lines as rows of the reject table).
 
     Each source is written out on its own, so one that cannot be read is
     reported and does not stop the others.
     """
-    frames, outcomes = [], []
+    frames, rejects, outcomes = [], [spark.createDataFrame([], REJECTS)], []
     for place, (name, source) in enumerate(sources.items()):
         try:
-            frames.append(materialize(with_place(source(spark), place), f"raw-{name}"))
+            records, malformed = found if isinstance(found := source(spark), tuple) else (found, None)
+            records = materialize(with_place(records, place), f"raw-{name}")
+            if malformed is not None:
+                rejects.append(materialize(malformed, f"malformed-{name}"))
+            frames.append(records)
             outcomes.append((name, None))
         except Exception as error:  # any failure of a source is its status
             outcomes.append((name, str(error).split("\n", 1)[0]))
     status = jobs.source_status(outcomes, spark)
+    malformed = merge.union_all(rejects)
     if not frames:
-        return spark.createDataFrame([], RAW), status
+        return spark.createDataFrame([], RAW), status, malformed
     whole = with_arrival_order(merge.union_all(frames), first)
-    return whole.select([F.col(f.name).cast(f.dataType) for f in RAW.fields]), status
+    return whole.select([F.col(f.name).cast(f.dataType) for f in RAW.fields]), status, malformed
 
 
 def assign_businesses(records: DataFrame, store: TableStore, mode: str = "replay", fuzzy: bool = True) -> DataFrame:
@@ -120,11 +126,13 @@ def run_batch(
     outcomes: DataFrame | None = None,
     stream: str | None = None,
     batch: int | None = None,
+    malformed: DataFrame | None = None,
 ) -> int:
     """Fold a batch of RAW records into the store as its next version.
 
     The store remembers the highest ``seq`` ever seen, rejected records
-    included, and the batch of a stream that this version holds.
+    included, and the batch of a stream that this version holds. ``malformed``
+    are rows of the reject table that never became records; they count as errors.
     """
     tune(store.spark)
     now = moment(as_of)
@@ -134,6 +142,9 @@ def run_batch(
     last_seq = records.agg(F.max("seq")).first()[0]
     next_seq = max(store.next_seq(), -1 if last_seq is None else last_seq + 1)
     good, rejected = split_valid(records)
+    rejected = rejected.select(REJECTS.names)
+    if malformed is not None:
+        rejected = rejected.unionByName(malformed.select(REJECTS.names))
     ids = materialize(assign_businesses(good, store, mode, fuzzy), "ids")
     records = materialize(good.join(ids, "seq"), "assigned")
 
@@ -169,9 +180,9 @@ def run_sources(
     store: TableStore, sources: Mapping[str, Source], as_of: datetime | str, mode: str = "replay", fuzzy: bool = True
 ) -> int:
     """Collect every source and fold all of it in as one version."""
-    raw, outcomes = collect(store.spark, sources, store.next_seq())
+    raw, outcomes, malformed = collect(store.spark, sources, store.next_seq())
     raw = materialize(raw, "raw")
-    return run_batch(store, raw, as_of, mode=mode, fuzzy=fuzzy, outcomes=outcomes)
+    return run_batch(store, raw, as_of, mode=mode, fuzzy=fuzzy, outcomes=outcomes, malformed=malformed)
 
 
 def _amend(store: TableStore, businesses: DataFrame, added: Mapping[str, DataFrame]) -> int:

@@ -16,7 +16,7 @@ from ledgerloom.plans.book import Book
 from ledgerloom.plans.pipeline import collect, with_arrival_order, with_place
 from ledgerloom.plans.queries_leads import EXPORT, NO_CONTACT
 from ledgerloom.session import scratch_path
-from ledgerloom.sources import files, listings, registry, topics
+from ledgerloom.sources import files, lines, listings, registry, topics
 from ledgerloom.sources.tables import TableStore
 
 book = Book()
@@ -74,6 +74,33 @@ def federal_with_inactive(spark, sf_dir):
         spark, landed_csv(df, "active"), landed_csv(df, "inactive")).select(FEDERAL_COLUMNS)
 
 
+# Three kinds of rows: one line, three lines (a blank one among them), and one field too many.
+BROKEN_LINES = """
+select cast(o_orderkey as varchar(20)) || ',12" board,' || o_orderstatus as line from {orders} where o_orderkey % 3 = 0
+union all
+select '"' || cast(o_orderkey as varchar(20)) || '","Clerk' || chr(10) || chr(10) || o_orderpriority || ', ""' || cast(o_custkey as varchar(20))
+  || '""",' || o_orderstatus from {orders} where o_orderkey % 3 = 1
+union all
+select cast(o_orderkey as varchar(20)) || ',"a' || chr(10) || 'b",,' || o_orderstatus from {orders} where o_orderkey % 3 = 2
+"""
+
+
+@book.add("s01b_quoted_line_breaks", """
+select cast(o_orderkey as varchar) as key, '12" board' as note, o_orderstatus as status, null as reason from orders where o_orderkey % 3 = 0
+union all select cast(o_orderkey as varchar), 'Clerk' || chr(10) || chr(10) || o_orderpriority || ', "' || o_custkey || '"', o_orderstatus, null
+from orders where o_orderkey % 3 = 1
+union all select null, o_orderkey || ',"a' || chr(10) || 'b",,' || o_orderstatus, null, 'number of fields' from orders where o_orderkey % 3 = 2""")
+def quoted_line_breaks(spark, sf_dir):
+    """Files cut into splits anywhere, quoted line breaks included: records come back whole, the others with a reason."""
+    head, body = scratch_path(spark, "head"), scratch_path(spark, "body")
+    spark.range(1).select(F.lit("key,note,status").alias("line")).write.text(head)
+    inputs.derive(spark, sf_dir, BROKEN_LINES).write.text(body)
+    records, malformed = lines.read_records(spark, [head, body], strict=True)
+    none = F.lit(None).cast("string")
+    return records.select("key", "note", "status", none.alias("reason")).unionByName(
+        malformed.select(none.alias("key"), F.col("line").alias("note"), none.alias("status"), "reason"))
+
+
 PORTAL_COLUMNS = [
     "legal_name", "operating_name", "province", "city", "address_line1", "postal_code", "phone", "email", "website",
     "industry", "incorporation_date", "business_status", "source_name", "source_kind", "confidence",
@@ -283,7 +310,7 @@ select source_kind as source, count(*) as n, false as failed from raw_business g
 union all select 'gone', 0, true""")
 def source_union(spark, sf_dir):
     """What each source brought, the one that failed included."""
-    whole, status = _collected(spark, sf_dir)
+    whole, status, _ = _collected(spark, sf_dir)
     held = whole.groupBy(F.col("source_kind").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     return status.join(held, status["source_name"] == held["source"], "left").select(
         F.col("source_name").alias("source"), F.coalesce("n", F.lit(0)).alias("n"), (F.col("status") == "failed").alias("failed"))
@@ -295,7 +322,7 @@ select source_name, count(*) as n, count(distinct legal_name) as names,
 from raw_business group by 1, 4""")
 def union_all(spark, sf_dir):
     """All records of all sources; sources follow each other in their order, without gaps."""
-    whole, _ = _collected(spark, sf_dir)
+    whole, _, _ = _collected(spark, sf_dir)
     kinds = whole.groupBy("source_kind").agg(F.min("seq").alias("low"), F.count(F.lit(1)).alias("held"))
     # Three rows: a source's place is told by how many records came before it.
     places = kinds.select("source_kind", F.when(

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import labels
 from ledgerloom.functions.text import blank_to_null, digits_to_int, strip
 from ledgerloom.schemas import CONFIDENCE, DEFAULT_CONFIDENCE, DEFAULT_KIND, RAW
+from ledgerloom.sources import lines
 from ledgerloom.sources.mapping import mapped, match_columns
 from ledgerloom.sources.registry import Portal, hints_of
 
 Paths = str | Sequence[str]
 
 
+def _listed(paths: Paths) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(paths)
+
+
 def raw_records(df: DataFrame, **columns: Column) -> DataFrame:
     """RAW columns (without seq) from the given expressions; the rest is NULL."""
     defaults = {"source_kind": F.lit(DEFAULT_KIND), "confidence": F.lit(DEFAULT_CONFIDENCE)}
@@ -26,13 +32,14 @@ def raw_records(df: DataFrame, **columns: Column) -> DataFrame:
 def read_csv(spark: SparkSession, paths: Paths, multi_line: bool = False) -> DataFrame:
     """Header CSV, all text, byte-order mark removed.
 
-    Files are split over tasks. Only a caller who declares that a source quotes
-    line breaks sets ``multi_line``, which reads each file in one task.
+    Files are split over tasks. A caller who declares that a source quotes line
+    breaks sets ``multi_line``, which reads each file in one task, or reads it with
+    ``lines.read_records``, which splits it and tells what is malformed.
     """
     df = (
         spark.read.option("header", True).option("multiLine", multi_line)
         .option("escape", '"').option("encoding", "UTF-8").option("mode", "PERMISSIVE")
-        .csv(paths if isinstance(paths, str) else list(paths))
+        .csv(_listed(paths))
     )
     plain = [name.lstrip("﻿").strip('"') if i == 0 else name for i, name in enumerate(df.columns)]
     return df if plain == df.columns else df.withColumnsRenamed(dict(zip(df.columns, plain)))
@@ -51,9 +58,25 @@ def federal_registry(
     multi_line: bool = False,
 ) -> DataFrame:
     """The federal corporation files; ``inactive_paths`` adds the dissolved ones."""
-    extra = [inactive_paths] if isinstance(inactive_paths, str) else list(inactive_paths)
-    df = read_csv(spark, ([paths] if isinstance(paths, str) else list(paths)) + extra, multi_line)
+    df = read_csv(spark, _listed(paths) + _listed(inactive_paths), multi_line)
+    return federal_records(df.withColumn(lines.FILE, F.col("_metadata.file_path")), province, source_name)
 
+
+def federal_registry_checked(
+    spark: SparkSession,
+    paths: Paths,
+    inactive_paths: Paths = (),
+    province: str | None = None,
+    source_name: str = "corporations_canada_federal",
+    strict: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The same files with quoted line breaks, read in splits: (records, rows of the reject table)."""
+    df, malformed = lines.read_records(spark, _listed(paths) + _listed(inactive_paths), strict=strict)
+    return federal_records(df, province, source_name), lines.as_rejects(malformed, source_name)
+
+
+def federal_records(df: DataFrame, province: str | None, source_name: str) -> DataFrame:
+    """Records of federal corporation rows, which name their file in ``landed_file``."""
     def text(column: str) -> Column:
         return strip(_value(df, column))
 
@@ -66,7 +89,7 @@ def federal_registry(
         kept = kept & ((here == "") | (F.upper(here) == province.upper()))
     street, unit = text("Street"), text("Street 2")
     return raw_records(
-        df.where(kept).withColumn("file", F.col("_metadata.file_path")),
+        df.where(kept),
         legal_name=name,
         province=text("Province/territory"),
         city=text("City/town"),
@@ -80,7 +103,7 @@ def federal_registry(
         employee_count_max=digits_to_int(_value(df, "Maximum number of directors")),
         source_name=F.lit(source_name),
         source_kind=F.lit("federal_registry"),
-        source_url=F.col("file"),
+        source_url=F.col(lines.FILE),
         confidence=F.lit("0.90").cast(CONFIDENCE),
     )
 
@@ -116,11 +139,21 @@ def portal_scan(spark: SparkSession, source: Portal, resources: Sequence[Paths],
         df = read_csv(spark, resource, multi_line)
         headers = df.columns
         frames.append(portal_records(
-            df.withColumn("landed_file", F.col("_metadata.file_path")), source, headers, F.col("landed_file")))
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    return whole
+            df.withColumn(lines.FILE, F.col("_metadata.file_path")), source, headers, F.col(lines.FILE)))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def portal_scan_checked(
+    spark: SparkSession, source: Portal, resources: Sequence[Paths], strict: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The same resources with quoted line breaks, read in splits: (records, rows of the reject table)."""
+    frames, rejects = [], []
+    for resource in resources:
+        df, malformed = lines.read_records(spark, resource, strict=strict)
+        headers = [name for name in df.columns if name != lines.FILE]
+        frames.append(portal_records(df, source, headers, F.col(lines.FILE)))
+        rejects.append(lines.as_rejects(malformed, source.name))
+    return reduce(DataFrame.unionByName, frames), reduce(DataFrame.unionByName, rejects)
 
 
 def csv_resources(manifests: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """File scans, the table store, whole runs and streams."""
 
 import json
+import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from ledgerloom.operators import leads
 from ledgerloom.operators.leads import LeadFilter
 from ledgerloom.plans import pipeline
 from ledgerloom.schemas import RAW
-from ledgerloom.sources import files, listings, mapping, registry, topics
+from ledgerloom.sources import files, lines, listings, mapping, registry, topics
 from ledgerloom.sources.tables import TableStore
 from ledgerloom.streaming.rolling import rolling_counts
 from ledgerloom.streaming.upserts import landed_records, upsert_stream
@@ -42,6 +44,67 @@ def test_federal_file(spark, federal_file):
     assert str(first.confidence) == "0.90" and first.source_url.endswith("federal.csv")
 
 
+def small_splits(spark):
+    """Splits of 300 bytes, for as long as it lasts."""
+    names = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quoted_line_breaks_are_read_in_splits(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    kinds = [lambda: '"a\nb' + "\n" * rng.randrange(4) + 'c"', lambda: '"x, ""q""\n,""\n y"', lambda: '12" pipe', lambda: "",
+             lambda: '"plain"', lambda: f"w{rng.randrange(100)}", lambda: '"half" quoted', lambda: '""']
+    for f in range(3):
+        rows = [f"{f}-{i}," + (",".join(rng.choice(kinds)() for _ in range(2)) if f < 2 else "p,q") for i in range(120)]
+        (tmp_path / f"{f}.csv").write_text("id,a,b\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    with contextmanager(small_splits)(spark):
+        assert lines.text_lines(spark, [str(tmp_path)]).rdd.getNumPartitions() > 10
+        got, malformed = lines.read_records(spark, str(tmp_path))
+        got = [tuple(r)[:3] for r in got.collect()]
+        assert malformed.count() == 0
+    want = files.read_csv(spark, str(tmp_path), multi_line=True).collect()
+    assert len(got) == 360 and sorted(got, key=str) == sorted([tuple(r) for r in want], key=str)
+
+
+def test_quotes_that_never_close(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,a\n1,x\n2,"open\n3,y\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('id,a\n4,"' + "\n" * 9 + '"\n5\n6,z,more\n', encoding="utf-8")
+    names = [str(tmp_path / n) for n in ("a.csv", "b.csv")]
+
+    def read(**options):
+        got, malformed = lines.read_records(spark, names, **options)
+        return [tuple(r)[:2] for r in got.collect()], sorted((r.line, r.reason) for r in malformed.collect())
+
+    lost = [('2,"open\n3,y', "unclosed quote")]
+    assert read() == ([("1", "x"), ("4", "\n" * 9), ("5", None), ("6", "z")], lost)
+    assert read(strict=True) == ([("1", "x"), ("4", "\n" * 9)], sorted(lost + [(x, "number of fields") for x in ("5", "6,z,more")]))
+    got, malformed = read(most_lines=5)
+    assert got == [("1", "x"), ("5", None), ("6", "z")] and len(malformed) == 1 + 10
+    (tmp_path / "none.csv").write_text("id,a\n", encoding="utf-8")
+    got, malformed = lines.read_records(spark, str(tmp_path / "none.csv"))
+    assert (got.columns, got.count(), malformed.count()) == (["id", "a", "landed_file"], 0, 0)
+
+
+def test_malformed_lines_are_rejects_of_the_run(spark, tmp_path):
+    (tmp_path / "f.csv").write_text(FEDERAL + 'Ontario,"Cut off\n', encoding="utf-8")
+    store = TableStore(spark, str(tmp_path / "store"))
+    pipeline.run_sources(store, {"federal": lambda s: files.federal_registry_checked(s, str(tmp_path / "f.csv"))}, AS_OF, fuzzy=False)
+    assert {r.legal_name for r in store.read("businesses").collect()} == {'Acme, "Best" Inc', "Second Form Ltd", "Other Ltee"}
+    reject, = store.read("rejects").collect()
+    assert reject.seq is None and reject.source_name == "corporations_canada_federal"
+    assert reject.reason.startswith("unclosed quote in file:") and reject.reason.endswith(': Ontario,"Cut off')
+    run, = store.read("job_runs").collect()
+    assert (run.records_collected, run.errors_count, run.status) == (3, 1, "partial_failure")
+
+
 def test_portal_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text("E-mail Address,COMPANY,Street Address,City \nx@y.ca, Firm ,1 King,\n", encoding="utf-8")
     source = registry.portal("toronto_business_licences")
