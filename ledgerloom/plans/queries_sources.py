@@ -79,7 +79,7 @@ BROKEN_LINES = """
 select cast(o_orderkey as varchar(20)) || ',12" board,' || o_orderstatus as line from {orders} where o_orderkey % 3 = 0
 union all
 select '"' || cast(o_orderkey as varchar(20)) || '","Clerk' || chr(10) || chr(10) || o_orderpriority || ', ""' || cast(o_custkey as varchar(20))
-  || '""",' || o_orderstatus from {orders} where o_orderkey % 3 = 1
+  || '""' || '",' || o_orderstatus from {orders} where o_orderkey % 3 = 1
 union all
 select cast(o_orderkey as varchar(20)) || ',"a' || chr(10) || 'b",,' || o_orderstatus from {orders} where o_orderkey % 3 = 2
 """
