@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ledgerloom.operators import contacts as ct
 from ledgerloom.operators import events as ev
-from ledgerloom.operators import jobs, merge, scoring, suppression
+from ledgerloom.operators import jobs, merge, scoring, shared, suppression
 from ledgerloom.operators.keys import new_identifiers, record_keys
 from ledgerloom.operators.match import match_snapshot
 from ledgerloom.operators.normalize import normalize_records, split_valid
@@ -20,6 +21,8 @@ from ledgerloom.session import materialize, tune
 from ledgerloom.sources.tables import GROWING_TABLES, TableStore, same_row
 from ledgerloom.sources.topics import officer_contacts
 
+log = logging.getLogger(__name__)
+
 # A source gives its records, or its records and its rows of the reject table.
 Source = Callable[[SparkSession], DataFrame | tuple[DataFrame, DataFrame]]
 
@@ -127,26 +130,37 @@ def run_batch(
     stream: str | None = None,
     batch: int | None = None,
     malformed: DataFrame | None = None,
+    most_names: int | None = None,
 ) -> int:
     """Fold a batch of RAW records into the store as its next version.
 
     The store remembers the highest ``seq`` ever seen, rejected records
     included, and the batch of a stream that this version holds. ``malformed``
     are rows of the reject table that never became records; they count as errors.
+    With ``most_names``, a domain or phone held under more names, in this batch and
+    those before that gave it too, matches nothing and is not registered.
     """
     tune(store.spark)
     now = moment(as_of)
     version = store.begin()
 
-    records = materialize(normalize_records(raw), "records")
-    last_seq = records.agg(F.max("seq")).first()[0]
+    seen = Observation()
+    records = materialize(normalize_records(raw).observe(seen, F.max("seq").alias("last_seq")), "records")
+    last_seq = seen.get["last_seq"]
     next_seq = max(store.next_seq(), -1 if last_seq is None else last_seq + 1)
     good, rejected = split_valid(records)
     rejected = rejected.select(REJECTS.names)
     if malformed is not None:
         rejected = rejected.unionByName(malformed.select(REJECTS.names))
-    ids = materialize(assign_businesses(good, store, mode, fuzzy), "ids")
+    keyed = good
+    if most_names is not None:
+        fresh_names = shared.key_names(good)
+        names = materialize(shared.add_names(store.lookup("key_names", fresh_names), fresh_names), "names")
+        keyed = materialize(shared.without_shared_keys(good, shared.shared_keys(names, most_names)), "keyed")
+        store.upsert("key_names", names, version)
+    ids = materialize(assign_businesses(keyed, store, mode, fuzzy), "ids")
     records = materialize(good.join(ids, "seq"), "assigned")
+    keyed = records if most_names is None else materialize(keyed.join(ids, "seq"), "keyed")
 
     # From here on only the buckets of these businesses and keys are read and written.
     touched = ids.select("business_id").distinct()
@@ -156,8 +170,8 @@ def run_batch(
     store.write("field_sources", merge.accepted_values(history, now, log_all), version)
     store.write("events", ev.change_events(history, now), version)
     store.write("rejects", rejected, version)
-    known_keys = store.lookup("identifiers", record_keys(records, with_name=True))
-    store.upsert("identifiers", new_identifiers(records, known_keys), version)
+    known_keys = store.lookup("identifiers", record_keys(keyed, with_name=True))
+    store.upsert("identifiers", new_identifiers(keyed, known_keys), version)
 
     sources = materialize(store.lookup("business_sources", touched), "sources")
     gained = merge.accepted_sources(history, log_all)
@@ -177,12 +191,13 @@ def run_batch(
 
 
 def run_sources(
-    store: TableStore, sources: Mapping[str, Source], as_of: datetime | str, mode: str = "replay", fuzzy: bool = True
+    store: TableStore, sources: Mapping[str, Source], as_of: datetime | str, mode: str = "replay", fuzzy: bool = True,
+    most_names: int | None = None,
 ) -> int:
     """Collect every source and fold all of it in as one version."""
     raw, outcomes, malformed = collect(store.spark, sources, store.next_seq())
     raw = materialize(raw, "raw")
-    return run_batch(store, raw, as_of, mode=mode, fuzzy=fuzzy, outcomes=outcomes, malformed=malformed)
+    return run_batch(store, raw, as_of, mode=mode, fuzzy=fuzzy, outcomes=outcomes, malformed=malformed, most_names=most_names)
 
 
 def _amend(store: TableStore, businesses: DataFrame, added: Mapping[str, DataFrame]) -> int:
@@ -223,9 +238,12 @@ def enrich_officers(store: TableStore, payloads: DataFrame, as_of: datetime | st
 
 
 def refresh_stale(store: TableStore, as_of: datetime | str) -> int:
-    """Touch and rescore the stale businesses."""
+    """Touch and rescore the stale businesses; their number, counted as they are written, is logged."""
     now = moment(as_of)
-    due = materialize(store.read("businesses").where(scoring.stale(now)), "stale")
+    counted = Observation()
+    due = store.read("businesses").where(scoring.stale(now)).observe(counted, F.count(F.lit(1)).alias("refreshed"))
+    due = materialize(due, "stale")
+    log.info("%d stale businesses refreshed", counted.get["refreshed"])
     refreshed, _ = scoring.touch_stale(due, store.lookup("contacts", due), store.lookup("business_sources", due), now)
     return _amend(store, refreshed, {})
 

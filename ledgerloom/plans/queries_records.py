@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import similarity as sim
 from ledgerloom.functions.text import strip
 from ledgerloom.operators import events as ev
-from ledgerloom.operators import jobs, keys, match, merge, resolve, scoring
+from ledgerloom.operators import jobs, keys, match, merge, resolve, scoring, shared
 from ledgerloom.operators.normalize import normalize_records, split_valid
 from ledgerloom.plans import inputs
 from ledgerloom.plans.book import Book
@@ -56,6 +56,25 @@ def exact(spark, sf_dir):
     return match.exact_match(records.where(~held), identifiers)
 
 
+@book.add("j01b_unshared_keys", f"""
+select * from (
+with shared as (
+  select kind, value from ({KEY_ROWS}) k join good g using (seq) where kind in ('domain', 'phone') and g.name_key <> ''
+  group by 1, 2 having count(distinct g.name_key) > 1),
+keys as (select k.* from ({KEY_ROWS}) k anti join shared s on s.kind = k.kind and s.value = k.value),
+owners as (select kind, value, min(seq) as business_id from keys where {SNAPSHOT} group by 1, 2)
+select seq, business_id, kind as key_type from (
+  select k.seq, o.business_id, k.kind, row_number() over (partition by k.seq order by k.place) as n
+  from keys k join owners o using (kind, value) where not ({SNAPSHOT.replace('seq', 'k.seq')})) where n = 1)""")
+def exact_without_shared_keys(spark, sf_dir):
+    """Exact matches when a domain or phone of two names is no key."""
+    records = materialize(inputs.good_records(spark, sf_dir), "good")
+    records = materialize(shared.without_shared_keys(records, shared.shared_keys(shared.key_names(records), 1)), "keyed")
+    held = F.expr(SNAPSHOT)
+    identifiers = keys.register_identifiers(records.where(held).withColumn("business_id", F.col("seq")))
+    return match.exact_match(records.where(~held), identifiers)
+
+
 @book.add("u02_register_keys", f"""
 select business_id, kind as key_type, value as key_value, min(seq) as first_seq from (
   select seq, kind, value from ({KEY_ROWS}) union all {NAME_ROWS}) k join (select seq, business_id from entities) e using (seq)

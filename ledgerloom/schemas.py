@@ -65,6 +65,13 @@ IDENTIFIERS = T.StructType([
     T.StructField("first_seq", T.LongType()),
 ])
 
+# Sketches of the names under which a domain or phone is held.
+KEY_NAMES = T.StructType([
+    T.StructField("key_type", T.StringType()),
+    T.StructField("key_value", T.StringType()),
+    T.StructField("names", T.BinaryType()),
+])
+
 FIELD_SOURCES = T.StructType([
     T.StructField("business_id", T.LongType()),
     T.StructField("field_name", T.StringType()),

@@ -33,18 +33,21 @@ ROW_KEYS = {
     "identifiers": ["business_id", "key_type", "key_value"],
     "contacts": ["contact_id", "business_id"],
     "business_sources": ["business_id", "source_name"],
+    "key_names": ["key_type", "key_value"],
 }
 LOOKUP_KEYS = {
     "businesses": ["business_id"],
     "identifiers": ["key_type", "key_value"],
     "contacts": ["business_id"],
     "business_sources": ["business_id"],
+    "key_names": ["key_type", "key_value"],
 }
 BUCKETED_TABLES = {
     "businesses": schemas.BUSINESSES,
     "identifiers": schemas.IDENTIFIERS,
     "contacts": schemas.CONTACTS,
     "business_sources": schemas.BUSINESS_SOURCES,
+    "key_names": schemas.KEY_NAMES,
 }
 # Tables to which a version adds rows.
 GROWING_TABLES = {

@@ -7,8 +7,9 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import leads
+from ledgerloom.operators import leads, shared
 from ledgerloom.operators.leads import LeadFilter
+from ledgerloom.operators.normalize import normalize_records
 from ledgerloom.plans import pipeline
 from ledgerloom.schemas import RAW
 from ledgerloom.sources import files, lines, listings, mapping, registry, topics
@@ -200,6 +201,34 @@ def test_two_runs(spark, store):
     assert store.next_seq() == 12
 
 
+@pytest.mark.parametrize("most_names", [None, 20])
+def test_a_hosted_domain_merges_nobody(spark, tmp_path, most_names):
+    """The domain comes in two batches: under few names in the second, but many are known from the first."""
+    rows = [{"seq": i, "legal_name": f"Firm {i}", "website": "https://host.ca/x", "phone": f"416-555-{i // 2:04d}"} for i in range(60)]
+    rows += [{"seq": 60, "website": "host.ca"}, {"seq": 61, "legal_name": "Last", "website": "host.ca"}]
+    store = TableStore(spark, str(tmp_path))
+    pipeline.run_batch(store, raw(spark, *rows[:58]), AS_OF, fuzzy=False, most_names=most_names)
+    pipeline.run_batch(store, raw(spark, *rows[58:]), AS_OF, fuzzy=False, most_names=most_names)
+    found = {r.business_id: r.domain for r in store.read("businesses").collect()}
+    if most_names is None:
+        assert set(found) == {0} and store.read("key_names").count() == 0
+    else:  # Phones of two names are keys still; the domain stays a value.
+        assert set(found) == {*range(0, 60, 2), 60, 61} and set(found.values()) == {"host.ca"}
+        assert store.read("identifiers").where("key_type = 'domain'").count() == 0
+
+
+def test_shared_keys_of_few_rows_take_the_other_way(spark):
+    records = normalize_records(raw(spark, *[
+        {"seq": i, "legal_name": f"F {i % 3}", "website": f"h{i % 2}.ca", "phone": "416-555-0000" if i % 2 else None} for i in range(12)]
+        + [{"seq": 12, "legal_name": "F 0", "website": "own.ca"}]))
+    many = shared.shared_keys(shared.key_names(records), 2)
+    assert {(r.key_value, r.held_by) for r in many.collect()} == {("h0.ca", 3), ("h1.ca", 3), ("+14165550000", 3)}
+    for hot_rows in (1, 10**6):
+        kept = shared.without_shared_keys(records, many, hot_rows)
+        assert kept.columns == records.columns
+        assert {(r.seq, r.domain, r.phone) for r in kept.collect()} == {*((i, None, None) for i in range(12)), (12, "own.ca", None)}
+
+
 def test_enrich_refresh_and_suppress(spark, store):
     pages = spark.createDataFrame(
         [(1, "https://www.acme.ca/about", "<p>Our President: boss@acme.ca 416 555 0101</p>"),
