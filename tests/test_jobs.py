@@ -447,3 +447,9 @@ def test_a_run_that_died_leaves_nothing(spark, tmp_path):
     store.write("rejects", spark.createDataFrame([(2, "x", "y")], "seq long, source_name string, reason string"), store.begin())
     store.commit(1)
     assert [r.seq for r in store.read("rejects").collect()] == [2]
+
+
+def test_an_empty_batch(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    pipeline.run_batch(store, raw(spark, {"seq": 4, "legal_name": "One"}).where("seq < 0"), AS_OF, fuzzy=False)
+    assert store.read("businesses").count() == 0 and store.next_seq() == 0
