@@ -2,7 +2,7 @@
 
 A line is a function on one bit: whether it starts inside a quoted field decides
 whether it ends inside one. Such functions compose, so the bit before every line
-follows from a scan within each block of a file and a scan over the blocks. Only
+follows from a scan within each chunk of a file and a scan over the chunks. Only
 files in which some line leaves a quote open are scanned at all; the lines of all
 others are records as they stand, and are never shuffled.
 """
@@ -18,6 +18,8 @@ from ledgerloom.session import materialize
 
 # Lines a record may span. A quote that stays open for longer was never closed.
 MOST_LINES = 1000
+# Lines put in order as one group.
+CHUNK = 1 << 16
 FILE = "landed_file"
 UNCLOSED, FIELDS = "unclosed quote", "number of fields"
 
@@ -50,35 +52,38 @@ def _after(set_to: Column, flips: Column, start: Column) -> Column:
     return F.coalesce(set_to, start).bitwiseXOR(flips.cast("int"))
 
 
-def _starts(lines: DataFrame) -> DataFrame:
+def _starts(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(file, block, row, line, start_block, start_row): where the record of each line starts.
 
-    Rows of a block are put in order within the block, and one short row a block
-    within the file.
+    A block is cut into chunks, so no task holds more than some of its lines, however
+    large blocks are. Rows of a chunk are put in order within the chunk, and one
+    short row a chunk within the file.
     """
-    place = Window.partitionBy(FILE, "block").orderBy("row")
+    group = [FILE, "block", "chunk"]
+    lines = lines.withColumn("chunk", F.floor(F.col("row") / chunk))
+    place = Window.partitionBy(*group).orderBy("row")
     opens, stays = _runs_on(F.col("line")), _runs_on(F.concat(F.lit('"'), F.col("line")))
     told = lines.withColumns({"opens": opens, "stays": stays}).select(
         *lines.columns, F.when(F.col("opens") == F.col("stays"), F.col("opens").cast("int")).alias("sets"),
         (F.col("opens") & ~F.col("stays")).cast("int").alias("turns"))
-    run = _scan(told, [FILE, "block"], ["row"]).drop("sets", "turns")
-    ends = run.groupBy(FILE, "block").agg(F.max_by(F.struct("set_to", "flips"), "row").alias("end"))
-    # A block that sets the bit sets it to what its later lines make of it.
+    run = _scan(told, group, ["row"]).drop("sets", "turns")
+    ends = run.groupBy(*group).agg(F.max_by(F.struct("set_to", "flips"), "row").alias("end"))
+    # A chunk that sets the bit sets it to what its later lines make of it.
     set_to, flips, outside = F.col("end.set_to"), F.col("end.flips").cast("int"), F.lit(0)
-    blocks = _scan(ends.select(
-        FILE, "block", set_to.bitwiseXOR(flips).alias("sets"), F.when(set_to.isNull(), flips).otherwise(0).alias("turns")), [FILE], ["block"])
-    begin = F.lag(_after(F.col("set_to"), F.col("flips"), outside), 1, 0).over(Window.partitionBy(FILE).orderBy("block"))
-    known = run.join(blocks.select(FILE, "block", begin.alias("begin")), [FILE, "block"])
+    chunks = _scan(ends.select(
+        *group, set_to.bitwiseXOR(flips).alias("sets"), F.when(set_to.isNull(), flips).otherwise(0).alias("turns")), [FILE], group[1:])
+    begin = F.lag(_after(F.col("set_to"), F.col("flips"), outside), 1, 0).over(Window.partitionBy(FILE).orderBy(*group[1:]))
+    known = run.join(chunks.select(*group, begin.alias("begin")), group)
     inside = F.lag(_after(F.col("set_to"), F.col("flips"), F.col("begin"))).over(place)
     known = known.withColumn("inside", F.coalesce(inside, F.col("begin"))).select(*lines.columns, "inside")
 
     own = F.when(F.col("inside") == 0, F.struct(F.col("block").alias("start_block"), F.col("row").alias("start_row")))
     so_far = known.withColumn("start", F.last(own, ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    last = so_far.groupBy(FILE, "block").agg(F.max("start").alias("last"))
-    earlier = Window.partitionBy(FILE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(FILE, "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    return so_far.join(carried, [FILE, "block"]).withColumn("start", F.coalesce("start", "carried")).select(
-        *lines.columns, "start.*")
+    last = so_far.groupBy(*group).agg(F.max("start").alias("last"))
+    earlier = Window.partitionBy(FILE).orderBy(*group[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*group, F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    return so_far.join(carried, group).withColumn("start", F.coalesce("start", "carried")).select(
+        *[c for c in lines.columns if c != "chunk"], "start.*")
 
 
 def text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
