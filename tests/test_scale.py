@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import similarity as sim
-from ledgerloom.operators import match, resolve
+from ledgerloom.operators import detail, match, resolve, scoring
+from ledgerloom.sources import lines
 
 
 def numbered(many: int, most: int, width: int) -> list[str]:
@@ -80,3 +81,56 @@ def test_numbered_names_make_components(spark):
     # Records that hold one name that is alike to a question are one business.
     found = {r["seq"]: r["business_id"] for r in resolve.resolve_components(rows, edges, fuzzy=True).collect()}
     assert found == dict(enumerate(label))
+
+
+def test_star_rounds_run_without_leaves(spark, monkeypatch):
+    """Records that only point at the first holders of their keys take no part in the rounds."""
+    asked = []
+    rounds = resolve._star_rounds
+    monkeypatch.setattr(resolve, "_star_rounds", lambda pairs, *rest: (asked.append(pairs.count()), rounds(pairs, *rest))[1])
+    edges = [(100 + i, i % 4) for i in range(200)] + [(150, 1), (150, 9), (9, 8), (400, 300), (401, 300)]
+    label = {n: n for e in edges for n in e}
+    for a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = {n: low if x == high else x for n, x in label.items()}
+    found = resolve.connected_components(spark.createDataFrame(edges, "src long, dst long"), hot_rows=30)
+    rows = found.collect()
+    assert len(rows) == len(label) and {r["node"]: r["component"] for r in rows} == label
+    assert asked[0] <= 6
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_records_start_where_they_start_in_any_chunks(spark, chunk):
+    text = ["a,b", 'c,"d', "", 'e"', 'f,"g', 'h""', 'i","', "j", '",k', "l,m"]
+    starts = [0, 1, 1, 1, 4, 4, 4, 4, 4, 9]
+    rows = [("f", i // 6, (i // 6 << 33) + i, t) for i, t in enumerate(text)]
+    placed = lines._starts(spark.createDataFrame(rows, "landed_file string, block long, row long, line string"), chunk).collect()
+    assert {r["row"]: r["start_row"] for r in placed} == {rows[i][2]: rows[s][2] for i, s in enumerate(starts)}
+
+
+def test_detail_and_new_contacts_read_their_input_once(spark):
+    """What is looked at several times is worked out once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        seen.add(1)
+        return n
+
+    count = F.udf(counted, "long").asNondeterministic()
+    ids = spark.range(20).select(count("id").alias("business_id"))
+    contacts = spark.createDataFrame([], "business_id long, contact_id string, is_active boolean, confidence decimal(4,2)")
+    fields = spark.createDataFrame([(1, "name", "x", 1, "s")], "business_id long, field_name string, field_value string, seq long, source_name string").withColumn(
+        "confidence", F.lit(0.5).cast("decimal(4,2)"))
+    events = spark.createDataFrame([], "business_id long, event_id long, detected_at timestamp")
+    parts = detail.business_detail(ids, spark.range(20).withColumnRenamed("id", "business_id"), contacts, fields, events)
+    assert [parts[k].count() for k in ("business", "contacts", "field_sources", "events")] == [20, 0, 1, 0]
+    assert seen.value == 20
+
+    seen.value = 0
+    found = spark.range(5).select(F.concat(F.lit("c"), "id").alias("contact_id"), count("id").alias("business_id"),
+                                  F.lit(True).alias("is_active"), F.lit(0.5).cast("decimal(4,2)").alias("confidence"))
+    owners = spark.range(5).select(F.col("id").alias("business_id"), F.lit("2024-01-01").cast("timestamp").alias("last_verified_at"),
+                                   F.lit(0).cast("decimal(5,2)").alias("quality_score"), F.lit(False).alias("lead_ready"),
+                                   *[F.lit("").alias(c) for c in ("phone", "website", "address_line1", "postal_code", "size_category")])
+    scored, every = scoring.add_contacts(owners, contacts, found, fields, F.lit("2024-01-31").cast("timestamp"))
+    assert scored.count() == 5 and every.count() == 5 and seen.value == 5
