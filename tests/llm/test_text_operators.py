@@ -33,6 +33,16 @@ def test_join_odd_rows(frame):
     assert jaccard.join_similar(frame([])).count() == 0
 
 
+def test_join_ships_only_sets_that_meet_others(spark):
+    near = spark.createDataFrame([(k * 7919,) for k in range(300)], "node long")
+    sets = spark.createDataFrame([(k, b"x") for k in range(0, 300 * 7919, 791)] + [(k * 7919, b"y") for k in range(300)] + [(None, b"z")],
+                                 "node long, elements binary")
+    marks = spark.sparkContext.broadcast(sketch.merge(near.mapInArrow(jaccard._mark(16), sketch.SCHEMA), 16, 1, (1,)))
+    got = [(r.node, bytes(r.elements)) for r in sets.mapInArrow(jaccard._marked(16, marks), "node long, elements binary").collect()]
+    assert {k for k, e in got if e == b"y"} == {k * 7919 for k in range(300)}
+    assert len(got) < 400 and all(k is not None for k, _ in got)
+
+
 def test_subsets_and_bounds():
     for n in range(1, 20):
         assert len(jaccard.subset_codes(np.arange(n, dtype=np.uint64), 85)) == jaccard.light_rows(n, 85)
