@@ -51,6 +51,13 @@ def test_literal_cases(spark, function, table):
     assert apply(spark, function, *table) == list(table.values())
 
 
+def test_every_white_space_collapses(spark):
+    """Text beyond ASCII without such space stays as it is."""
+    values = [f"Élan{c}{d}Vital" for c in text.WHITE_SPACE for d in ("", " ")] + [f"a{c}b" for c in text.WHITE_SPACE]
+    assert set(apply(spark, text.collapse_spaces, *values)) == {"Élan Vital", "a b"}
+    assert apply(spark, text.collapse_spaces, "Café №1", "", None, "~ !") == ["Café №1", "", None, "~ !"]
+
+
 def test_dates(spark):
     got = apply(spark, text.parse_date, "2020-01-31", "2020-1-5T10:00:00Z", "2020/02/03", "01/31/2020", "20200131",
                 "2020-13-01", "soon", "2020", None)

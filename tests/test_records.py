@@ -61,6 +61,23 @@ def merged_in_order(rows):
     return log, results, current, sizes
 
 
+@pytest.mark.parametrize("log_all", [False, True])
+def test_steps_of_every_record_are_compiled(spark, log_all):
+    """No function with a lambda, which Spark interprets row by row; missing values and keys leave no row."""
+    rows = records(spark, [
+        {"seq": 1, "business_id": 1, "city": "A", "phone": "1", "confidence": Decimal("0.90"), "name_key": "n", "corporation_number": ""},
+        {"seq": 2, "business_id": 1, "city": "B", "email": "e", "confidence": Decimal("0.50")}])
+    history = merge.record_history(rows)
+    logged = merge.accepted_values(history, F.current_timestamp(), log_all)
+    held = keys.record_keys(rows, with_name=True)
+    for df in (history.select("changed_fields"), logged, held):
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.seq, r.field_name, r.field_value) for r in logged.collect()} == {
+        (1, "city", "A"), (1, "phone", "1"), (2, "email", "e")} | ({(2, "city", "B")} if log_all else set())
+    assert {r.seq: r.changed_fields for r in history.collect()} == {1: [], 2: ["email"]}
+    assert {tuple(r) for r in held.collect()} == {(1, 2, "phone", "1"), (1, 4, "name_hash", "n")}
+
+
 @pytest.mark.parametrize("seed, run_length", [(0, 1000), (1, 7), (2, 7), (3, 1)])
 def test_history_equals_sequential_merge(spark, seed, run_length):
     rows = random_history(seed)
