@@ -18,6 +18,42 @@ def test_join_with_a_crowded_sketch_loses_nothing(frame, corpus):
     assert got == brute.similar(corpus, 4, 85)
 
 
+def test_join_with_a_crowded_sketch_still_rules_unique_sets_out(frame, monkeypatch):
+    """240,000 elements in 65,536 cells: one sketch of all would call nearly every element repeated."""
+    base = [f"w{i}" for i in range(240)]
+    rows = [(k, " ".join(f"u{k}x{i}" for i in range(240))) for k in range(1000)] + [(2000 + k, " ".join([f"n{k}", *base])) for k in range(3)]
+    kept, keep = {}, jaccard.Scratch.keep
+
+    def counted(self, df, label):
+        out = keep(self, df, label)
+        kept[label] = out.count()
+        return out
+    monkeypatch.setattr(jaccard.Scratch, "keep", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.join_similar(frame(rows), 4, 85, most_bits=16).collect()}
+    assert got == {k: min(k, 2000) for k, _ in rows}
+    assert kept["parts"] < 100
+
+
+def test_join_parts_of_the_sketch():
+    assert jaccard.part_count(0, 29, 85) == (1, 1)
+    assert jaccard.part_count(1 << 28, 29, 80) == (1, 1)
+    for elements in (1 << 29, 1 << 32, 1 << 36):
+        for percent in (60, 80, 85, 99):
+            parts, asked = jaccard.part_count(elements, 29, percent)
+            assert elements <= parts * (1 << 28) and 1 <= asked <= parts
+    value = words.mix(np.arange(30_000, dtype=np.uint64))
+    assert (abs(np.bincount(jaccard._part(value, 5).astype(int), minlength=5) - 6000) < 400).all()
+
+
+def test_join_meets_by_enough_short_lists_or_a_long_one(spark):
+    """Sets of 100 elements must share four posted ones; chance meetings must not tie clusters together."""
+    lists = {e: [1, 2] for e in range(4)} | {e: [2, 3] for e in range(10, 13)} | {20: list(range(40, 40 + jaccard.SHORT + 1))}
+    rows = [(d, 100, e, min(held), len(held)) for e, held in lists.items() for d in held]
+    rows += [(d, n, e, 50, 2) for e in range(30, 36) for d, n in ((80, 100), (81, 84))]
+    got = {(r.a, r.b) for r in jaccard._meetings(spark.createDataFrame(rows, "doc_id long, n long, e long, hub long, held long"), 85).collect()}
+    assert got == {(1, 2)} | {(d, 40) for d in range(41, 41 + jaccard.SHORT)}
+
+
 def test_join_compares_large_groups_in_blocks(frame, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     base = [f"w{i}" for i in range(120)]
