@@ -27,6 +27,8 @@ from ledgerloom.llm import words
 from ledgerloom.llm.scratch import Scratch
 
 SEGMENT_BYTES = 2 << 20
+#: Segments of a file of the index.
+FILE_SEGMENTS = 8
 BLOCK = 64
 #: Bytes of items searched in one pass.
 ITEM_BYTES = 8 << 20
@@ -261,8 +263,8 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Segments of all documents, written."""
-    return scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index, _SEGMENT_SQL), "index")
+    """Segments of all documents, written in files of few, whatever the size of the tasks."""
+    return scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index, _SEGMENT_SQL), "index", FILE_SEGMENTS)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:

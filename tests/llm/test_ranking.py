@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import ranking
 
@@ -80,6 +81,14 @@ def test_items_in_several_passes(spark, frame, docs, items, monkeypatch):
     assert ran(spark, frame, docs[:300], items, 5) == plain(docs[:300], items, 5)
 
 
+def test_a_file_of_the_index_holds_few_segments(spark):
+    """A reader takes thousands of rows of a file at once, and a segment has megabytes."""
+    docs = spark.range(0, 20, 1, 1).selectExpr("id as doc_id", "repeat('word ', 300000) as text")
+    index = ranking.build_index(docs, ranking.Scratch(spark, "ranking"))
+    held = [r["count"] for r in index.groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 20 and max(held) <= ranking.FILE_SEGMENTS < 20
+
+
 def test_empty_tables(spark, frame, docs, items):
     assert ran(spark, frame, [], items, 5) == []
     assert ran(spark, frame, docs[:50], [], 5) == []
