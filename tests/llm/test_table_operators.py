@@ -177,6 +177,22 @@ def test_near_vectors_odd_rows(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_near_vectors_shuffle_no_graphs(spark, monkeypatch):
+    """Rows of a shard's graph name its file; with the graph in them each block of queries would shuffle it again."""
+    kept, keep = {}, embeddings.Scratch.keep
+
+    def held(self, df, label, *more):
+        kept[label] = keep(self, df, label, *more)
+        return kept[label]
+    monkeypatch.setattr(embeddings.Scratch, "keep", held)
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 100)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.random.default_rng(5).normal(size=(400, 8)))]
+    assert embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.999, shards=2).count() == 400
+    graphs = kept["graphs"].collect()
+    assert len(graphs) == 2 and all(len(str(tuple(r))) < 1000 for r in graphs)
+    assert sum(len(embeddings._read(r["file"])[0]) for r in graphs) == 400
+
+
 def test_graph_recall_and_widening():
     rng = np.random.default_rng(2)
     raw = np.array(clusters(rng, 12, 150, 32))
