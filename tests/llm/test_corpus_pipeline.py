@@ -5,7 +5,7 @@ import brute
 import pytest
 
 import corpus_pipeline as cp
-from ledgerloom.llm import tokens
+from ledgerloom.llm import jaccard, tokens
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, row_key long"
 LEAST = -10 ** 6
@@ -84,6 +84,22 @@ def test_one_document_of_each_group_stays(spark, rows, folder):
     assert got(cp.near_duplicates(spark, frame(spark, rows[0]), folder)) == want and len(want) == 12
 
 
+def test_crowded_sketches_keep_unlike_documents_out_of_the_join(spark, folder, monkeypatch):
+    """As in a large corpus, nearly every cell of a sketch of all elements is taken more than once."""
+    held, keep = {}, jaccard.Scratch.keep
+
+    def counted(self, df, label, *more):
+        out = keep(self, df, label, *more)
+        held[label] = out.count()
+        return out
+    monkeypatch.setattr(jaccard.Scratch, "keep", counted)
+    monkeypatch.setattr(jaccard.join_similar, "__defaults__", (5, 80, 16))
+    base = [f"w{i}" for i in range(240)]
+    rows = [(k, " ".join(f"u{k}x{i}" for i in range(240)), k) for k in range(1000)] + [(2000 + k, " ".join([f"n{k}", *base]), 2000 + k) for k in range(3)]
+    assert {r.doc_id for r in cp.near_duplicates(spark, frame(spark, rows), folder).collect()} == {*range(1000), 2000}
+    assert held["parts"] < 100
+
+
 def test_passages_go_row_by_row(spark, rows, folder):
     found = cp.repeated_passages(spark, frame(spark, rows[0]), folder)
     assert got(found) == plain_passages(rows[0])
